@@ -1,0 +1,15 @@
+"""Registered queries of the library's own operators, with their SQL."""
+
+from __future__ import annotations
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(8)
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
