@@ -75,22 +75,16 @@ class Scratch:
         self._delete(self.root)
 
 
-def even_keys(spark: SparkSession, n: int) -> list[int]:
-    """n integers of which hash partitioning into n sends one to each partition."""
-    found: dict[int, int] = {}
-    start, step = 0, 16 * n + 64
-    while len(found) < n:
-        rows = (
-            spark.range(start, start + step, 1, 1)
-            .select(F.col("id").cast("int").alias("k"))
-            .groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p"))
-            .agg(F.min("k").alias("k"))
-            .collect()
-        )
+def even_keys(spark: SparkSession, n: int, each: int = 1) -> list[int]:
+    """n * each integers of which hash partitioning into n sends ``each`` to every partition."""
+    found: dict[int, list[int]] = {}
+    start, step = 0, (16 + 2 * each) * n + 64
+    while len(found) < n or min(map(len, found.values())) < each:
+        rows = spark.range(start, start + step, 1, 1).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p")).collect()
         for r in rows:
-            found.setdefault(r["p"], r["k"])
+            found.setdefault(r["p"], []).append(r["k"])
         start += step
-    return [found[i] for i in range(n)]
+    return [found[p][i] for i in range(each) for p in range(n)]
 
 
 def file_bytes(path: str, limit: int = 64 << 20) -> bytes:

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import chunks, even_keys, parallelism, table
 
 SPAN = 50
+#: Batches and buckets a partition: a task holds one of them at a time.
+PARTS = 2
 #: Bytes of a string that is hashed to choose a window's key; 16 to 24.
 GRAM = 20
 BLOB = "batch int, bucket int, blob binary"
@@ -380,11 +382,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, keep: list[str] | None = N
     """
     keep = docs.columns if keep is None else keep
     n = parallelism(spark)
-    names = even_keys(spark, n)
+    names = even_keys(spark, n, PARTS)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     chosen = docs.select(*keep, F.col("doc_id").cast("long").alias("__doc"), text.alias("__bytes"))
     named = chosen.where("__doc is not null")
-    batch = F.element_at(F.lit(names), (F.pmod(F.xxhash64("__doc", F.length("__bytes")), F.lit(n)) + 1).cast("int"))
+    batch = F.element_at(F.lit(names), (F.pmod(F.xxhash64("__doc", F.length("__bytes")), F.lit(len(names))) + 1).cast("int"))
     dealt = named.withColumn("batch", batch).repartition(n, "batch")
     sketches = dealt.groupBy("batch").applyInArrow(_sketch(names, span), BLOB)
     repeated = sketches.repartition(n, "bucket").groupBy("bucket").applyInArrow(_repeated, BLOB).repartition(n, "batch")
