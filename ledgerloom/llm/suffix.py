@@ -122,7 +122,7 @@ def _sketch(names: list[int], span: int):
             keys.append(k)
             owners.append(docs[doc + s])
         keys, owners = np.concatenate(keys), np.concatenate(owners)
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys)
         keys, owners = keys[by], owners[by]
         first = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
         many = np.minimum.reduceat(owners, first) != np.maximum.reduceat(owners, first) if len(first) else np.empty(0, bool)
@@ -218,6 +218,8 @@ def refine(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     suffix is never touched again.
     """
     n = len(text) - max(depth, 8)
+    if n >= 1 << 32:
+        raise ValueError("pointers have 32 bits: use more partitions")
     # Offsets from a wanted position at which each round reads a pointer.
     rounds, have = [], min(8, depth)
     while have < depth:
@@ -234,7 +236,7 @@ def refine(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     active = _at(wanted, needs[0], n)
     bucket = np.zeros(n, np.int64)
     sub = code[active]
-    order = np.argsort(sub, kind="stable")
+    order = np.argsort(sub)
     active, sub = active[order], sub[order]
     bucket[active] = np.maximum.accumulate(np.where(np.concatenate([[True], sub[1:] != sub[:-1]])[: len(sub)], np.arange(len(sub)), 0)) if len(sub) else 0
     for i, (_, step) in enumerate(rounds):
@@ -245,7 +247,7 @@ def refine(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         if not len(active):
             break
         later = bucket[active + step]
-        order = np.lexsort((later, own))
+        order = np.argsort(own.astype(np.uint64) << np.uint64(32) | later.astype(np.uint64))
         active, own, later = active[order], own[order], later[order]
         head = np.concatenate([[True], own[1:] != own[:-1]])
         fresh = head | np.concatenate([[True], later[1:] != later[:-1]])
@@ -293,7 +295,7 @@ def _smallest(span: int):
         wanted = np.repeat(starts - windows[:-1], many) + np.arange(windows[-1])
         bucket = refine(text[: int((many + span - 1).sum()) + span + 8][: len(text)], wanted, span) if len(wanted) else wanted
         docs = np.repeat(np.array(owner, np.int64), many)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket)
         head = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else np.empty(0, np.int64)
         least = np.empty(len(docs), np.int64)
         if len(order):
