@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, file_bytes, table
+from .letters import SHAPE, Letters, letter_ranks
 
 CAPACITY = 4096
 #: The id that ends a document.
@@ -27,15 +28,18 @@ class Words(dict):
 
     The tokenizer drops white space and no token spans it, so that a text's ids are
     those of its words. Only space, tab, line feed and carriage return split here.
+    Words of letters and punctuation after them go to ``Letters``, all others and the
+    punctuation to the tokenizer.
     """
 
-    def __init__(self, data: bytes, limit: int = REMEMBERED):
+    def __init__(self, data: bytes, limit: int = REMEMBERED, ranks: dict[bytes, int] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(data.decode())
         self.encoder.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit, self.old = limit, {}
+        self.letters, self.tails = Letters(ranks) if ranks else None, {"": b""}
 
     def learn(self, words: set[str]) -> None:
         if len(self) > self.limit:
@@ -47,9 +51,20 @@ class Words(dict):
                 new.append(w)
             else:
                 self[w] = got
-        for w, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self[w] = struct.pack(f"<{len(ids)}I", *ids)
+        if self.letters and new:
+            shapes = SHAPE.findall("\n".join(new))
+            easy = [(w, s[0], s[1]) for w, s in zip(new, shapes, strict=True) if s[0]]
+            new = [w for w, s in zip(new, shapes, strict=True) if not s[0]]
+            if len(self.tails) > self.limit:
+                self.tails = {"": b""}
+            unknown = list({tail for _, _, tail in easy} - self.tails.keys())
+            self.tails.update(zip(unknown, self.slow(unknown), strict=True))
+            tails = self.tails
+            self.update(zip([w for w, _, _ in easy], [ids + tails[e[2]] for ids, e in zip(self.letters.encode([c for _, c, _ in easy]), easy, strict=True)], strict=True))
+        self.update(zip(new, self.slow(new), strict=True))
+
+    def slow(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self.encoder.encode_batch_fast(words, add_special_tokens=False))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit numbers."""
@@ -68,13 +83,13 @@ def token_pieces(docs: DataFrame, tokenizer: bytes, capacity: int = CAPACITY, en
     A document's ids are those of its whole text (null: empty) and ``end``; only a
     longer document is cut. Every row of ``docs`` gives a piece at least.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, letter_ranks(tokenizer)))
     key = zlib.crc32(tokenizer)
     tail, size = struct.pack("<I", end), 4 * capacity
 
     def run(batches):
         if key not in _words:
-            _words[key] = Words(shared.value)
+            _words[key] = Words(shared.value[0], ranks=shared.value[1])
         words = _words[key]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

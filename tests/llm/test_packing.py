@@ -88,3 +88,19 @@ def test_patterns_use_every_piece_once():
     assert not any(left.values())
     total = sum(k * v for k, v in counts.items())
     assert sum(b for b, _ in plan) <= 1.02 * total / 4096 + 1 or max(counts) > 2048
+
+
+def test_words_of_letters_are_encoded_as_the_tokenizer_does():
+    data = open(packing._path(), "rb").read()
+    ranks = packing.letter_ranks(data)
+    assert len(ranks) > 40_000 and packing.letter_ranks(data.replace(b'"NFC"', b'"NFD"')) == {}
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFÀÉÖßÿñçÝÞµªº÷×'\"!-.9\x0b\x0c\x85 ́ΣſK"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(20_000)}
+    words |= {c * n for c in "aéZß" for n in range(1, 200)} | {"<|endoftext|>", "it's", "l'été,", "Über...", "the"}
+    for code in range(0x100):
+        words |= {chr(code), f"a{chr(code)}", f"{chr(code)}b!"} if chr(code) not in " \t\r\n" else set()
+    quick, plain = packing.Words(data, ranks=ranks), packing.Words(data)
+    quick.learn(words)
+    plain.learn(words)
+    assert quick == plain
