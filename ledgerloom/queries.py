@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .operators import evaluate as ev
 from .operators import evidence as evi
-from .operators import graph, guard, ingest, jobs, retrieve
+from .operators import graph, guard, ingest, jobs, respond, retrieve
 from .plans import tools
 from .sources import files
 
@@ -593,3 +593,80 @@ def text_previews(spark, d):
 def formatted_values(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy hh:mm a").alias("shown"), tx.bounded_int(F.left("o_orderpriority", F.lit(1)), 9, 2).alias("bounded"))
 
+
+@query("""WITH x AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'non_financial' WHEN 'F' THEN 'financial_supported' END AS a,
+CASE left(o_orderpriority, 1) WHEN '2' THEN 'uncertain' WHEN '3' THEN 'financial_supported' WHEN '4' THEN 'non_financial' WHEN '5' THEN 'other' END AS b FROM orders),
+y AS (SELECT o_orderkey, a, b, coalesce(a, 'financial_supported') AS f FROM x),
+z AS (SELECT *, f <> 'financial_supported' AS adjudicated, CASE WHEN f = 'financial_supported' THEN f WHEN b = 'other' THEN 'uncertain' ELSE coalesce(b, 'financial_supported') END AS final_status FROM y)
+SELECT o_orderkey, final_status, CASE WHEN adjudicated THEN CASE WHEN b IS NULL THEN 'low' ELSE 'high' END WHEN a IS NULL THEN 'low' ELSE 'medium' END AS final_confidence,
+CASE WHEN adjudicated THEN CASE WHEN b IS NULL THEN 's,domain_adjudicator_error' ELSE '' END WHEN a IS NULL THEN 'domain_classifier_error' ELSE 's' END AS final_signals, adjudicated,
+CASE final_status WHEN 'non_financial' THEN 'non_financial' WHEN 'uncertain' THEN 'domain_uncertain' END AS blocked_reason FROM z""")
+def domain_adjudicated(spark, d):
+    first = F.when(F.col("o_orderstatus") == "O", F.lit(" Non_Financial")).when(F.col("o_orderstatus") == "F", F.lit("financial_supported"))
+    p = F.left("o_orderpriority", F.lit(1))
+    second = F.when(p == "2", F.lit("uncertain")).when(p == "3", F.lit("Financial_Supported")).when(p == "4", F.lit("non_financial")).when(p == "5", F.lit("other"))
+    rows = _t(spark, d, "orders").select("o_orderkey", first.alias("domain_status"), F.lit("sure").alias("domain_confidence"), F.lit(["s", " "]).alias("domain_signals"), second.alias("second_status"), F.lit("HIGH").alias("second_confidence"), F.array().cast("array<string>").alias("second_signals"))
+    return respond.adjudicate(rows).select("o_orderkey", "final_status", "final_confidence", F.array_join("final_signals", ",").alias("final_signals"), "adjudicated", "blocked_reason")
+
+
+@query("""WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+x AS (SELECT o_orderkey, coalesce(n, 0) AS n, CASE WHEN left(o_orderpriority, 1) = '1' THEN 'low_quality' END AS r, o_orderstatus = 'O' AS has, o_orderstatus <> 'P' AS ok FROM orders LEFT JOIN n ON l_orderkey = o_orderkey),
+y AS (SELECT *, CASE WHEN r IS NOT NULL AND has THEN 'blocked_response' WHEN n = 0 THEN 'insufficient_evidence' WHEN NOT ok THEN 'generation_error' ELSE 'generated' END AS outcome FROM x)
+SELECT o_orderkey, outcome, CASE outcome WHEN 'blocked_response' THEN r WHEN 'insufficient_evidence' THEN coalesce(r, outcome) WHEN 'generation_error' THEN outcome END AS out_reason,
+CASE WHEN outcome <> 'generated' THEN outcome END AS chart_reason FROM y""")
+def answer_states(spark, d):
+    n = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("evidence_count"))
+    status = F.col("o_orderstatus")
+    rows = _t(spark, d, "orders").join(n, "o_orderkey", "left").select("o_orderkey", "evidence_count", F.when(F.left("o_orderpriority", F.lit(1)) == "1", F.lit("low_quality")).otherwise(F.lit("")).alias("blocked_reason"), F.when(status == "O", F.lit("a")).alias("final_answer"), F.when(status != "P", F.lit("g")).alias("generated"))
+    return respond.answer_state(rows).select("o_orderkey", "outcome", "out_reason", "chart_reason")
+
+
+@query("""SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'chunk_search,table_search' WHEN 'system' THEN '' ELSE 'chunk_search,graph_traversal' END AS tools,
+CASE WHEN turn > 0 THEN 'T' || conv_id END AS context_ticker FROM conversations""")
+def tool_context(spark, d):
+    role = F.col("role")
+    stored = F.when(role == "assistant", F.lit([" table_search ", "", "chunk_search", "table_search"])).when(role == "system", F.array().cast("array<string>"))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", stored.alias("stored_tools"), F.when(role == "user", F.lit("trend_analysis")).otherwise(F.lit("fact_lookup")).alias("intent"), F.lit(False).alias("needs_tables"), F.lit(False).alias("needs_graph_traversal"), F.lit(8).alias("top_k_chunks"), F.lit(0).alias("top_k_tables"), F.lit(2).alias("hop_depth"), F.when(F.col("turn") == 0, F.lit(False)).alias("use_company_filter"), F.concat(F.lit("T"), "conv_id").alias("ticker"))
+    return respond.retrieval_context(rows).select("conv_id", "turn", F.array_join("context_tools", ",").alias("tools"), "context_ticker")
+
+
+_START = """d AS (SELECT o_custkey AS id, CASE WHEN left(min(o_orderpriority), 1) <> '1' THEN 'o' || min(o_orderkey) END AS file_path FROM orders GROUP BY 1),
+f AS (SELECT DISTINCT 'o' || l_orderkey AS path FROM lineitem),
+s AS (SELECT c_custkey AS pos, c_custkey AS id, CASE WHEN d.id IS NULL THEN 'not_found' WHEN file_path IS NULL THEN 'no_path' WHEN path IS NULL THEN 'no_file' END AS problem FROM customer LEFT JOIN d ON d.id = c_custkey LEFT JOIN f ON path = file_path)"""
+
+
+def _start(spark: SparkSession, d: str, known_only: bool = False) -> DataFrame:
+    least = F.min("o_orderpriority")
+    documents = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.when(F.left(least, F.lit(1)) == "1", F.lit("")).otherwise(F.concat(F.lit("o"), F.min("o_orderkey"))).alias("file_path"))
+    files_ = _t(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("path"))
+    asked = documents.select(F.col("id").alias("pos"), "id") if known_only else _t(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("id"))
+    return respond.start_check(asked, documents, files_)
+
+
+@query(f"WITH {_START} SELECT pos, id, problem FROM s")
+def start_check(spark, d):
+    return _start(spark, d)
+
+
+@query(f"""WITH {_START}, g AS (SELECT count(*) FILTER (problem = 'no_path') AS p, count(*) FILTER (problem = 'no_file') AS f FROM s WHERE id IN (SELECT id FROM d))
+SELECT CASE WHEN p > 0 THEN 'no_path' WHEN f > 0 THEN 'no_file' END AS problem, CASE WHEN p + f > 0 THEN 400 ELSE 202 END AS code, CASE WHEN p > 0 THEN p ELSE f END AS n_ids FROM g""")
+def start_status(spark, d):
+    return respond.start_status(_start(spark, d, known_only=True))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (1, 7, 32) THEN 'CANCELLED' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey IN (1, 7, 32) THEN 0 ELSE 50 END AS progress FROM orders")
+def job_cancel(spark, d):
+    return respond.cancel(_t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(50).alias("progress")), [1, 7, 32])
+
+
+@query("""SELECT round(count(*) FILTER (toxic = 0 AND quality = 0) / count(*) FILTER (toxic = 0), 6) AS false_block_rate,
+round(count(*) FILTER (toxic = 1 AND quality <> 0) / count(*) FILTER (toxic = 1), 6) AS false_allow_rate FROM labels""")
+def labelled_rates(spark, d):
+    rows = _t(spark, d, "labels").select(F.when(F.col("toxic") == 1, F.lit(" Non_Financial ")).otherwise(F.lit("financial_supported")).alias("expected_domain"), F.when(F.col("quality") == 0, F.lit("low_quality")).alias("blocked_reason"))
+    return respond.labelled_rates(rows, "expected_domain", "blocked_reason")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn >= 2 THEN upper(role) ELSE role END AS role FROM conversations")
+def message_reduce(spark, d):
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "role")
+    return jobs.reduce_messages(rows.where("turn <= 3"), rows.where("turn >= 2").withColumn("role", F.upper("role")), ["conv_id", "turn"])
