@@ -20,9 +20,9 @@ SHARE = 0.75
 STEPS = 4
 #: A group (language, source) with fewer rows joins its language's; then all together.
 LEAST_ROWS = 200
-#: Quantile of the chi-square distribution beyond which a row is rejected; texts' tails
-#: are heavier than the normal distribution's, hence so far out.
-REJECT = 1 - 1e-9
+#: Quantile of the chi-square distribution beyond which a row is rejected. Texts' tails
+#: are heavier than the normal distribution's; farther out junk stays (see README).
+REJECT = 0.999999
 #: Width of a histogram bin of features and of the logarithm of squared distances.
 STEP = 0.01
 
@@ -107,11 +107,11 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "source",
         F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
         counted.alias("c"),
     )
     n, r = F.col("c.n_words"), F.col("c.n_repeat_words")
-    return got.select("doc_id", "lang", "source", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", r.alias("n_repeat_words"), ((n < 10) | (100 * r > 20 * n)).alias("base_failed"))
+    return got.select("doc_id", "lang", "source", n.alias("n_words"), "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", r.alias("n_repeat_words"), ((n < 10) | (100 * r > 20 * n)).alias("base_failed"))
 
 
 def _features() -> dict[str, Column]:
@@ -121,7 +121,7 @@ def _features() -> dict[str, Column]:
         "size": F.log(n.cast("double")),
         "word_length": F.log(F.col("word_chars") / n),
         "symbols": F.sqrt(F.col("n_symbols") / F.col("word_chars")),
-        "dup_lines": F.sqrt(F.col("n_dup_lines") / n),
+        "dup_lines": F.sqrt(F.col("n_dup_lines") / F.col("n_lines")),
         "repeats": F.sqrt(F.col("n_repeat_words") / n),
     }
 

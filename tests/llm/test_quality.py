@@ -83,3 +83,22 @@ def test_empty_and_repeated(spark, tmp_path):
     assert quality.op1_quality_rules(spark, write(spark, tmp_path, [])).count() == 0
     rows = [(1, "same text here", "en", "s", 1)] * 3 + [(None, None, None, None, None)]
     assert quality.op1_quality_rules(spark, write(spark, tmp_path / "b", rows)).count() == 4
+
+
+def test_labelled_junk_goes(spark, sf):
+    got = quality.op1_quality_rules(spark, sf).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    junk = [r["kept"] for r in got if r["quality"] == 0]
+    assert junk and sum(junk) <= 0.05 * len(junk)
+    assert all(r["kept"] for r in got if r["quality"] == 1)
+
+
+def test_repeated_lines_alone_are_enough(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(sentence(rng, 8) for _ in range(rng.randrange(15, 40))), "en", "s", 1) for i in range(400)]
+    odd = []
+    for i in range(8):  # lines of four words: windows of five seldom repeat
+        x = [sentence(rng, 4) for _ in range(30)]
+        odd.append((1000 + i, "\n".join(rng.sample(x + x[:25], 55)), "en", "s", 1))
+    got = {r["doc_id"]: r for r in quality.op1_quality_rules(spark, write(spark, tmp_path, rows + odd)).collect()}
+    assert not any(got[r[0]]["base_failed"] or got[r[0]]["kept"] for r in odd)
+    assert all(got[r[0]]["kept"] for r in rows)
