@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, table
 from .components import connected_components, forest
+from .nearcopies import near_copies
 
 #: h of a shingle is its XXH64 with this seed.
 SEED = 42
@@ -180,10 +181,11 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document of smallest doc_id stays.
 
+    Near copies are texts of five-word Jaccard similarity 0.8 or more and what they reach.
     Of repeated doc_ids within a group one row stays; rows with a null doc_id stay.
     """
     columns = docs.columns
-    got = simhash_components(spark, docs)
+    got = near_copies(spark, docs)
     kept = got.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
     stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     # The join has dealt and sorted the rows by doc_id already.
