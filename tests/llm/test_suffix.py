@@ -71,3 +71,41 @@ def test_stage_keeps_columns_and_drops_split_characters(spark):
     assert got[1]["text"] == text and got[3]["text"] is None
     assert got[2]["text"] == "ü" and got[2]["n_chars"] == 1
     assert DOCS.split()[0] == "doc_id"
+
+
+def test_a_line_in_very_many_contexts(spark):
+    rng = random.Random(5)
+    line = sentence(rng, 9)[:60]
+    rows = [(i, f"{sentence(rng, 12)}\n{line}\n{sentence(rng, 12)}", "en", "s", 1) for i in range(20_000)]
+    out = {r["doc_id"]: r["n_removed"] for r in suffix.cut_repeats(spark, frame(spark, rows), ["doc_id"]).select("doc_id", "n_removed").collect()}
+    assert out[0] == 0 and all(out[i] >= len(line) for i in out if i)
+
+
+@pytest.mark.parametrize("hot", [1, 4, 1 << 20])
+def test_windows_of_hot_keys_one_by_one(spark, hot):
+    rng = random.Random(6)
+    line = sentence(rng, 9)[:60]
+    rows = [(i * 11 % 301, f"{sentence(rng, 12)}\n{line}\n{rng.choice('abc') * 70}", "en", "s", 1) for i in range(300)] + [(900 + i, "ab" * 300, "en", "s", 1) for i in range(9)]
+    got = suffix.cut_repeats(spark, frame(spark, rows), ["doc_id"], batch_bytes=2000, hot=hot)
+    want = suffix.brute_force([(r[0], r[1]) for r in rows])
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got.collect()} == {i: w[:3] for i, w in want.items()}
+
+
+def test_columns_named_like_results(spark):
+    text = sentence(random.Random(3), 30)
+    docs = frame(spark, [(1, text, "en", "s", 1), (2, text + "tail", "en", "s", 2)])
+    for c in ("kept", "n_bytes", "N_removed", "n_spans", "__bytes", "__0", "batch", "kind"):
+        docs = docs.selectExpr("*", f"'own' as `{c}`")
+    out = suffix.without_repeats(spark, docs, "")
+    assert out.schema == docs.schema
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[2]["kept"] == got[2]["N_removed"] == got[2]["__0"] == "own" and len(got[2]["text"]) < 6
+    plain = suffix.cut_repeats(spark, docs)
+    assert plain.columns == [c for c in docs.columns if c.lower() not in ("kept", "n_bytes", "n_removed", "n_spans")] + ["n_bytes", "n_removed", "n_spans", "kept"]
+
+
+def test_one_very_long_text(spark):
+    text = sentence(random.Random(8), 250_000)
+    rows = [(1, text[:300_000], "en", "s", 1), (2, text, "en", "s", 1)]
+    out = {r["doc_id"]: r["n_removed"] for r in suffix.cut_repeats(spark, frame(spark, rows), ["doc_id"], batch_bytes=1 << 20).select("doc_id", "n_removed").collect()}
+    assert out[1] == 0 and 300_000 <= out[2] < 310_000
