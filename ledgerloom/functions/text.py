@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 NUMERIC = r"(?<!\w)\d[\d,]*(?:\.\d+)?%?(?!\w)"
 PERIOD = r"\b(?:Q[1-4]\s*FY\d{4}|FY\d{4}|20\d{2})\b"
 VALUE = r"(\$?\d[\d,]*(?:\.\d+)?)\s*(billion|million|%)?"
+HIDDEN = ("[HIDDEN_TOOL_PROMPT_START]", "[HIDDEN_TOOL_PROMPT_END]")
 
 
 def strip(c: Column) -> Column:
@@ -91,6 +92,48 @@ def truncate(c: Column, size: int = 100) -> Column:
     return F.when(F.length(c) > size, F.concat(F.left(c, F.lit(size)), F.lit("..."))).otherwise(c)
 
 
+def snippet(c: Column, size: int) -> Column:
+    """The first ``size`` characters and dots, whatever the length."""
+    return F.concat(F.left(F.coalesce(c, F.lit("None")), F.lit(size)), F.lit("..."))
+
+
+def folded(c: Column, size: int = 500, lines: int = 4) -> Column:
+    """Long contents cut to ``size`` characters, else to ``lines`` lines."""
+    split = F.split(c, "\n", -1)
+    cut = F.when(F.length(c) > size, F.concat(F.left(c, F.lit(size)), F.lit("...")))
+    return cut.when(F.size(split) > lines, F.concat(F.array_join(F.slice(split, 1, lines), "\n"), F.lit("\n..."))).otherwise(c)
+
+
+def first_items(items: Column, most: int, size: int = 100) -> Column:
+    """At most ``most`` strings, each truncated."""
+    return F.transform(F.slice(items, F.lit(1), F.lit(most)), lambda x: truncate(x, size))
+
+
+def display_name(c: Column) -> Column:
+    return title_name(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def with_directive(question: Column, directive: Column) -> Column:
+    """A directive between markers after the question; null or empty ones add nothing."""
+    return F.when(F.coalesce(directive, F.lit("")) == "", question).otherwise(F.concat(question, F.lit(f"\n\n{HIDDEN[0]}\n"), directive, F.lit(f"\n{HIDDEN[1]}")))
+
+
+def without_directive(c: Column) -> Column:
+    """What stands before the marker."""
+    return F.substring_index(c, f"\n\n{HIDDEN[0]}", 1)
+
+
+def utc_iso(c: Column | None = None) -> Column:
+    """A timestamp, by default the query's own, as ISO text in UTC with microseconds."""
+    at = F.current_timestamp() if c is None else c
+    return F.date_format(F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def parse_iso(c: Column) -> Column:
+    """ISO text as a timestamp, with or without fraction or offset; null if it is none."""
+    return F.try_to_timestamp(F.nullif(strip(c), F.lit("")))
+
+
 def json_payload(c: Column, schema: str) -> Column:
     """The outermost braces of a model's answer as ``schema``; null if there are none or they don't parse."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?(.*?)```", 1)
@@ -104,6 +147,24 @@ def content_text(blocks: Column) -> Column:
     return F.array_join(texts, " ")
 
 
+MESSAGES = "array<struct<type string, role string, content string>>"
+
+
+def messages_of(payload: Column) -> Column:
+    """Messages of a JSON payload that is a list of them or an object with such a list; else none."""
+    text = strip(payload)
+    inner = F.get_json_object(text, "$.messages")
+    body = F.when(text.startswith("["), text).when(text.startswith("{") & strip(inner).startswith("["), inner)
+    return F.coalesce(F.from_json(body, MESSAGES), F.array().cast(MESSAGES))
+
+
+def latest_human(messages: Column) -> Column:
+    """The last message of a person that isn't blank, without surplus blanks; empty without one."""
+    human = lambda m: F.lower(F.coalesce(m["type"], F.lit(""))).isin("human", "user") | F.lower(F.coalesce(m["role"], F.lit(""))).isin("human", "user")
+    texts = F.filter(F.transform(F.filter(messages, human), lambda m: collapse(m["content"])), lambda t: t != "")
+    return F.coalesce(F.try_element_at(texts, F.lit(-1)), F.lit(""))
+
+
 def page_snippet(c: Column, size: int = 200) -> Column:
     return F.replace(F.left(c, F.lit(size)), F.lit("\n"), F.lit(" "))
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import logging
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_name
+from ..functions.vector import dot
 from ..schema import ENTITY_LABELS, RELATION_TYPES
+from .retrieve import next_links, top_k
+
+log = logging.getLogger(__name__)
 
 
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
@@ -71,7 +80,8 @@ def delete_documents(documents: DataFrame, edges: DataFrame, ids: list[str], cas
     sections and chunks stay. Without it a document with edges can't go."""
     gone = documents.where(F.col("id").isin(ids))
     if not cascade:
-        used = gone.join(edges, (gone["id"] == edges["src"]) | (gone["id"] == edges["dst"]), "left_semi").first()
+        ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+        used = gone.join(ends, "id", "left_semi").first()
         if used is not None:
             raise ValueError(f"document {used['id']} still has edges")
     left_edges = edges.where(~F.col("src").isin(ids) & ~F.col("dst").isin(ids)) if cascade else edges
@@ -85,3 +95,143 @@ def document_counts(documents: DataFrame, sections: DataFrame, chunks: DataFrame
     t = tables.groupBy("doc_id").agg(F.countDistinct("id").alias("tables"))
     out = documents.select(F.col("id").alias("doc_id")).join(s, "doc_id", "left").join(c, "doc_id", "left").join(t, "doc_id", "left").na.fill(0)
     return out.withColumn("has_graph_data", (F.col("sections") > 0) | (F.col("chunks") > 0))
+
+
+@dataclass
+class Schema:
+    """Unique keys and vector indexes by name; a name that exists stays as it is."""
+
+    unique: dict[str, tuple[str, list[str]]] = field(default_factory=dict)
+    indexes: dict[str, tuple[str, list[str]]] = field(default_factory=dict)
+    vectors: dict[str, tuple[str, str, int]] = field(default_factory=dict)
+
+    def _add(self, kind: dict, name: str, value: tuple) -> bool:
+        return kind.setdefault(name, value) is value
+
+    def add_unique(self, name: str, table: str, key: list[str]) -> bool:
+        return self._add(self.unique, name, (table, key))
+
+    def add_index(self, name: str, table: str, columns: list[str]) -> bool:
+        """Columns by which ``write_indexed`` lays a table out, for statistics that skip files."""
+        return self._add(self.indexes, name, (table, columns))
+
+    def add_vector(self, name: str, table: str, column: str, dimension: int) -> bool:
+        return self._add(self.vectors, name, (table, column, dimension))
+
+    def violations(self, tables: dict[str, DataFrame]) -> DataFrame | None:
+        """(constraint, key, n): keys that repeat; nulls are no keys. Tables that aren't given aren't checked."""
+        out = None
+        for name, (table, key) in self.unique.items():
+            if table in tables:
+                found = duplicates(tables[table], key).select(F.lit(name).alias("constraint"), F.to_json(F.struct(*key)).alias("key"), F.col("count").alias("n"))
+                out = found if out is None else out.unionByName(found)
+        return out
+
+
+def create_schema(schema: Schema | None = None, dimension: int = 3072) -> Schema:
+    """The unique keys of the graph and the two vector indexes; may be called again."""
+    schema = schema or Schema()
+    for name, table, key in (("company_ticker", "company", "ticker"), ("company_name", "company", "name"), ("document_id", "document", "id"), ("section_id", "section", "id"), ("chunk_id", "chunk", "id"), ("table_id", "doc_table", "id")):
+        schema.add_unique(name, table, [key])
+    schema.add_vector("chunk_embeddings", "chunk", "embedding", dimension)
+    schema.add_vector("table_embeddings", "doc_table", "embedding", dimension)
+    return schema
+
+
+def init_schema(schema: Schema | None = None, steps: list[Callable[[Schema], object]] | None = None) -> Schema:
+    """Keys of jobs, documents, sections, chunks and entities and four secondary indexes. A step
+    that fails is logged and the others run."""
+    schema = schema or Schema()
+    if steps is None:
+        steps = [lambda s, t=t: s.add_unique(f"{t}_id", t, ["id"]) for t in ("job", "document", "section", "chunk", "entity")]
+        steps += [lambda s, t=t, c=c: s.add_index(f"{t}_{c}", t, [c]) for t, c in (("job", "status"), ("job", "created_at"), ("document", "ticker"), ("document", "status"))]
+    for step in steps:
+        try:
+            step(schema)
+        except Exception as error:
+            log.warning("schema step failed: %s", error)
+    return schema
+
+
+def write_indexed(df: DataFrame, schema: Schema, table: str, path: str) -> None:
+    """``df`` sorted within files by the table's indexed columns: their statistics skip files."""
+    columns = [c for t, cs in schema.indexes.values() if t == table for c in cs if c in df.columns]
+    (df.repartitionByRange(*columns).sortWithinPartitions(*columns) if columns else df).write.mode("overwrite").parquet(path)
+
+
+def sign_bucket(embedding: Column, dimension: int, bits: int = 8, seed: int = 7) -> Column:
+    """Which side of each of ``bits`` random planes through the origin a vector lies on."""
+    planes = np.random.default_rng([seed, dimension]).standard_normal((bits, dimension))
+    out = F.lit(0)
+    for k, plane in enumerate(planes.tolist()):
+        out = out + F.when(dot(embedding, F.lit(plane)) >= 0, F.lit(1 << k)).otherwise(F.lit(0))
+    return F.when(F.size(embedding) == dimension, out)
+
+
+def build_vector_index(df: DataFrame, path: str, dimension: int, column: str = "embedding", bits: int = 8) -> None:
+    """Vectors of the right size in folders by ``sign_bucket``; a search reads the near folders only."""
+    df.withColumn("bucket", sign_bucket(F.col(column), dimension, bits)).where("bucket is not null").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def search_vector_index(index: DataFrame, query: list[float], k: int, bits: int = 8, radius: int = 2, mode: str = "index") -> DataFrame:
+    """The nearest among vectors whose bucket differs in at most ``radius`` bits from the query's.
+
+    An approximation: top_k over all vectors is exact, and radius = bits is that.
+    """
+    own = index.sparkSession.range(1).select(sign_bucket(F.lit([float(x) for x in query]), len(query), bits)).first()[0]
+    near = [b for b in range(1 << bits) if (b ^ own).bit_count() <= radius]
+    return top_k(index.where(F.col("bucket").isin(near)).drop("bucket"), query, k, mode=mode)
+
+
+def upsert_documents(companies: DataFrame, documents: DataFrame, filed: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(companies, documents, filed) after new filings (id, type, period, filename, file_path,
+    company_name, ticker).
+
+    A company's ticker that is set stays; a document's four fields are replaced and its
+    others stay; each (company, document) is one edge.
+    """
+    companies = upsert_company(companies, new.select(F.col("company_name").alias("name"), "ticker"))
+    fields = ["type", "period", "filename", "file_path"]
+    last = new.groupBy("id").agg(F.max(F.struct(*fields)).alias("__new"))
+    both = documents.join(last, "id", "full_outer")
+    written = [F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c) if c in documents.columns else F.lit(None)).alias(c) for c in fields]
+    rest = [c for c in documents.columns if c not in (*fields, "id")]
+    edges = filed.select("company", "doc_id").unionByName(new.select(F.col("company_name").alias("company"), F.col("id").alias("doc_id"))).distinct()
+    return companies, both.select("id", *written, *rest), edges
+
+
+def upsert_sections(sections: DataFrame, contains: DataFrame, new: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, contains) after new sections (id, doc_id, ...) of documents that exist."""
+    good = with_parent(new, documents, "doc_id")
+    edges = contains.select("doc_id", "section_id").unionByName(good.select("doc_id", F.col("id").alias("section_id"))).distinct()
+    return upsert(sections, good, ["id"]), edges
+
+
+def upsert_children(children: DataFrame, links: DataFrame, new: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks or tables, their links (section_id, id, sequence)) after new rows (id, section_id,
+    sequence, ...).
+
+    A row whose section doesn't exist is dropped; a link that exists gets the new sequence.
+    """
+    good = with_parent(new, sections, "section_id").dropDuplicates(["id"])
+    return upsert(children, good, ["id"]), upsert(links.select("section_id", "id", "sequence"), good.select("section_id", "id", "sequence"), ["section_id", "id"])
+
+
+def document_chunks(contains: DataFrame, has_chunk: DataFrame) -> DataFrame:
+    """(doc_id, id, sequence): chunks that sections of a document have."""
+    return contains.select("doc_id", "section_id").join(has_chunk.select("section_id", "id", "sequence"), "section_id").select("doc_id", "id", "sequence")
+
+
+def document_chain(contains: DataFrame, has_chunk: DataFrame) -> DataFrame:
+    """(doc_id, src, dst) of successive chunks over all sections of a document."""
+    return next_links(document_chunks(contains, has_chunk), "doc_id", ["sequence", "id"], "id")
+
+
+def write_by_type(df: DataFrame, kind: str, path: str) -> None:
+    """Rows grouped by type: one folder each."""
+    df.repartition(kind).write.mode("overwrite").partitionBy(kind).parquet(path)
+
+
+def entity_total(extractions: DataFrame) -> DataFrame:
+    """One row: entities over all extractions, 0 without any."""
+    return extractions.agg(F.coalesce(F.sum(F.coalesce(F.size("entities"), F.lit(0))), F.lit(0)).alias("entities"))

@@ -40,7 +40,17 @@ def quality_gate(df: DataFrame, min_score: float = QUALITY_MIN_SCORE, min_eviden
 
 def claim_support(df: DataFrame, answer: str, evidence: str) -> DataFrame:
     """Numbers of the answer that the evidence text has too; without numbers the ratio is 1."""
-    out = df.withColumns({"__claims": numeric_claims(F.col(answer)), "__known": numeric_claims(F.col(evidence))})
+    return _support(df.withColumns({"__claims": numeric_claims(F.col(answer)), "__known": numeric_claims(F.col(evidence))}))
+
+
+def claim_support_by(df: DataFrame, key: str, answer: str, evidence: DataFrame, text: str) -> DataFrame:
+    """claim_support of rows that share evidence: its numbers are read once for each ``key``, and
+    they are joined, not the text."""
+    known = evidence.select(key, numeric_claims(F.col(text)).alias("__known"))
+    return _support(df.withColumn("__claims", numeric_claims(F.col(answer))).join(known, key))
+
+
+def _support(out: DataFrame) -> DataFrame:
     missing = F.array_except("__claims", "__known")
     total, lacking = F.size("__claims"), F.size(missing)
     ratio = F.when(total == 0, F.lit(1.0)).otherwise((total - lacking) / F.greatest(total, F.lit(1)))

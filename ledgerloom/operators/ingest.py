@@ -81,11 +81,16 @@ def section_ids(sections: DataFrame) -> DataFrame:
 
 
 def chunk(sections: DataFrame, size: int = 2048, overlap: int = 256) -> DataFrame:
-    """Chunks with a sequence from 0 over all sections of a document; blank ones are dropped."""
+    """Chunks with a sequence from 0 over all sections of a document; blank ones are dropped.
+
+    A section's first number is the count of pieces of the document's sections before it
+    (by idx, which is a document's own for each section): one row a section is sorted.
+    """
     pieces = sections.withColumn("pieces", splitter(size, overlap)("content"))
-    rows = pieces.select("doc_id", "idx", F.col("id").alias("section_id"), "section_type", F.col("page_start").alias("page"), F.posexplode("pieces").alias("pos", "text"))
-    sequence = (F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "pos")) - 1).cast("int")
-    rows = rows.withColumn("sequence", sequence)
+    before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    based = pieces.withColumn("base", F.coalesce(F.sum(F.size("pieces")).over(before), F.lit(0)))
+    rows = based.select("doc_id", "idx", F.col("id").alias("section_id"), "section_type", F.col("page_start").alias("page"), "base", F.posexplode("pieces").alias("pos", "text"))
+    rows = rows.withColumn("sequence", (F.col("base") + F.col("pos")).cast("int"))
     return rows.select(F.concat_ws("_", "doc_id", "section_type", "sequence").alias("id"), "section_id", "doc_id", "text", "section_type", "page", "sequence")
 
 
@@ -128,7 +133,37 @@ def extract(chunks: DataFrame, answer: str) -> DataFrame:
 
 def with_defaults(documents: DataFrame) -> DataFrame:
     """Missing or empty document fields get their defaults, null stats an empty map."""
-    return documents.withColumns({
+    out = documents.withColumns({
         "ticker": or_default(F.col("ticker"), "UNKNOWN"), "company_name": or_default(F.col("company_name"), "Unknown Company"),
         "doc_type": or_default(F.col("doc_type"), "Document"), "period": or_default(F.col("period"), "Unknown"),
     })
+    if "stats" in documents.columns:
+        kind = documents.schema["stats"].dataType.simpleString()
+        out = out.withColumn("stats", F.coalesce("stats", F.create_map().cast(kind)))
+    return out
+
+
+def pages_of_type(results: DataFrame, page_type: str, kind: str = "kind") -> DataFrame:
+    """Of a parser's pages those of a type; pages that failed have another one."""
+    return results.where(F.col(kind) == page_type)
+
+
+def tagged_texts(chunks: DataFrame, tables: DataFrame) -> DataFrame:
+    """(kind, id, text): texts of chunks and contexts of tables, to be embedded in one pass."""
+    return chunks.select(F.lit("chunk").alias("kind"), "id", "text").unionByName(tables.select(F.lit("table").alias("kind"), "id", F.col("context").alias("text")))
+
+
+def embed_all(chunks: DataFrame, tables: DataFrame, embedder: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Chunks and tables with embeddings of one pass; each is told apart by its kind, not its place."""
+    got = embed(tagged_texts(chunks, tables), "text", embedder).select("kind", "id", "embedding")
+    return tuple(df.join(got.where(F.col("kind") == k).drop("kind"), "id", "left") for k, df in (("chunk", chunks), ("table", tables)))
+
+
+def check_embeddings(embedded: DataFrame) -> int:
+    """The dimension of all vectors; raises if there are none, one is missing or sizes differ."""
+    r = embedded.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), F.count_if(F.col("embedding").isNull()).alias("missing")).first()
+    if not r["n"]:
+        raise ValueError("no vectors")
+    if r["missing"] or r["low"] != r["high"]:
+        raise ValueError(f"{r['missing']} vectors are missing, sizes are {r['low']} to {r['high']}")
+    return r["low"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,57 @@ def top_k_batch(vectors: DataFrame, queries: dict[int, list[float]], k: int, id_
     return scored.where("score is not null").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", mode: str = "index", block: int = 2048, parts: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` nearest vectors of each row of ``queries`` (query_id, embedding).
+
+    Queries are dealt into blocks of about ``block`` and vectors into ``parts``; each pair of a
+    block and a part is a task's matrix of cosines, of which only k rows a query leave it.
+    Vectors of another size, zero vectors and nulls have no score; ties go by id.
+    """
+    spark = vectors.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // block))
+    bits = lambda df, name, n, key: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    left = bits(queries.select(F.col("query_id").cast("long").alias("id"), x.alias("x")), "block", blocks, "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = bits(vectors.select(F.col(id_).cast("long").alias("id"), x.alias("x")), "part", parts, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def units(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By size the ids and unit vectors."""
+        out: dict[int, list] = {}
+        for i, v in zip(table.column("id").to_pylist(), table.column("x").to_pylist(), strict=True):
+            if v and not any(c is None for c in v) and any(v):
+                out.setdefault(len(v), []).append((i, v))
+        got = {}
+        for n, rows in out.items():
+            m = np.array([v for _, v in rows], float)
+            got[n] = np.array([i for i, _ in rows], np.int64), m / np.sqrt((m * m).sum(1))[:, None]
+        return got
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        a, b, out = units(asked), units(held), [[], [], []]
+        for n in a.keys() & b.keys():
+            (qs, q), (ids, v) = a[n], b[n]
+            for s in range(0, len(qs), 256):
+                near = q[s : s + 256] @ v.T
+                for row, query in zip(near, qs[s : s + 256].tolist(), strict=True):
+                    most = np.lexsort((ids, -row))[:k] if len(row) <= 4 * k else None
+                    if most is None:
+                        edge = np.partition(row, len(row) - k)[len(row) - k]
+                        may = np.flatnonzero(row >= edge - 1e-12)  # ties at the edge are ordered by id
+                        most = may[np.lexsort((ids[may], -row[may]))[:k]]
+                    out[0] += [query] * len(most)
+                    out[1].append(ids[most])
+                    out[2].append(row[most])
+        flat = lambda c, kind: np.concatenate(c) if c else np.empty(0, kind)
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": flat(out[1], np.int64), "cosine": flat(out[2], float)})
+
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "query_id long, id long, cosine double")
+    score_ = (1 + F.col("cosine")) / 2 if mode == "index" else F.col("cosine")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", score_.alias("score"), "rank")
+
+
 def optional_filters(df: DataFrame, ticker: str | None = None, period: str | None = None, doc_type: str | None = None) -> DataFrame:
     """A parameter that is None filters nothing; ticker ignores case, period is a substring."""
     if ticker is not None:

@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable
 from typing import TypeVar
 
 T = TypeVar("T")
-_TRANSIENT = ("timeout", "timed out", "temporar", "unavailable", "rate limit", "429", "503", "connection")
+# Names of error classes of drivers that needn't be installed.
+TRANSIENT = {"ServiceUnavailable", "SessionExpired", "TransientError"}
+DATABASE = {"DatabaseError", "Neo4jError", "PySparkException", "Py4JJavaError"}
 
 
-def classify(error: Exception) -> str:
-    text = f"{type(error).__name__} {error}".lower()
-    if isinstance(error, (TimeoutError, ConnectionError)) or any(t in text for t in _TRANSIENT):
+def classify(error: BaseException) -> str:
+    """transient, validation, database or runtime, by the type and its bases; texts don't count."""
+    names = {k.__name__ for k in type(error).__mro__}
+    if isinstance(error, (TimeoutError, ConnectionError)) or names & TRANSIENT:
         return "transient"
-    if isinstance(error, (ValueError, TypeError, KeyError)):
+    if isinstance(error, (TypeError, ValueError)):
         return "validation"
-    return "database" if "sql" in text or "database" in text else "runtime"
+    return "database" if names & DATABASE else "runtime"
 
 
-def with_retry(call: Callable[[], T], attempts: int = 3, base: float = 0.2, sleep: Callable[[float], None] = time.sleep) -> T:
-    """Only transient errors are tried again, after base * 2 ** (n - 1) seconds."""
+def query_delay(n: int, base: float = 0.2) -> float:
+    """Seconds after the n-th failed attempt of a query."""
+    return base * 2 ** (n - 1)
+
+
+def ingestion_delay(n: int, most: float = 0.25, draw: Callable[[float, float], float] = random.uniform) -> float:
+    """Seconds after the n-th failed attempt of an ingestion step, with jitter."""
+    return 2 ** (n - 1) + draw(0, most)
+
+
+def invoke(call: Callable[[], T], attempts: int = 3, delay: Callable[[int], float] = query_delay, sleep: Callable[[float], None] = time.sleep, retryable: Callable[[BaseException], bool] = lambda e: classify(e) == "transient") -> tuple[T, int, str | None]:
+    """(result, retries used, None). Only retryable errors are tried again; the last one is raised.
+
+    At least one attempt is made.
+    """
+    attempts = max(1, attempts)
     for n in range(1, attempts + 1):
         try:
-            return call()
+            return call(), n - 1, None
         except Exception as error:
-            if n == attempts or classify(error) != "transient":
+            if n == attempts or not retryable(error):
                 raise
-            sleep(base * 2 ** (n - 1))
+            sleep(delay(n))
     raise AssertionError("unreachable")
+
+
+def attempt(call: Callable[[], T], default: T, **kind) -> tuple[T, int, str | None]:
+    """As ``invoke``, but an error gives ``default`` and the error's class instead."""
+    try:
+        return invoke(call, **kind)
+    except Exception as error:
+        return default, 0, classify(error)
+
+
+def with_retry(call: Callable[[], T], attempts: int = 3, base: float = 0.2, sleep: Callable[[float], None] = time.sleep) -> T:
+    """The result alone, after at most ``attempts`` tries."""
+    return invoke(call, attempts, lambda n: query_delay(n, base), sleep)[0]
+
+
+def ingestion_retry(call: Callable[[], T], context: str, attempts: int = 3, sleep: Callable[[float], None] = time.sleep, delay: Callable[[int], float] = ingestion_delay) -> T:
+    """Any error is tried again; after the last one a RuntimeError tells the context."""
+    try:
+        return invoke(call, attempts, delay, sleep, lambda e: True)[0]
+    except Exception as error:
+        raise RuntimeError(f"{context} failed after {attempts} attempts: {error}") from error

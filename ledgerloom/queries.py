@@ -68,15 +68,6 @@ def vector_topk(spark, d):
     return retrieve.top_k(_vectors(spark, d), _vector_of(spark, d, 0), 8).select("id", "ticker", F.round("score", 6).alias("score"))
 
 
-@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.id AS query_id, v.id, (1 + list_cosine_similarity(v.e, q.e)) / 2 AS score FROM v, v q WHERE q.id IN (0, 7, 42, 99)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
-def vector_topk_batch(spark, d):
-    asked = {q: _vector_of(spark, d, q) for q in (0, 7, 42, 99)}
-    return retrieve.top_k_batch(_vectors(spark, d), asked, 5).select(F.col("query_id").cast("bigint"), "id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))
-
-
 _DOCS = "docs AS (SELECT doc_id, source AS doc_type, lang AS period, text FROM documents)"
 
 
@@ -116,8 +107,12 @@ c AS (SELECT l_orderkey AS doc, l_orderkey || '_' || seq AS id, seq, l_partkey,
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(_t(spark, d, "lineitem"))
+
+
+def _numbered(items: DataFrame) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER_KEYS.split(", ")))
-    rows = _t(spark, d, "lineitem").withColumn("seq", turn)
+    rows = items.withColumn("seq", turn)
     return rows.select(F.col("l_orderkey").alias("doc"), F.concat_ws("_", "l_orderkey", "seq").alias("id"), "seq", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 
 
@@ -130,9 +125,12 @@ k AS (SELECT id, string_agg(DISTINCT 'REPORTED_BY:' || n_name, ',' ORDER BY 'REP
 SELECT hits.id, hits.doc, coalesce(p, '') AS prev_chunks, coalesce(n, '') AS next_chunks, coalesce(entities, '') AS entities, coalesce(causal, '') AS causal_links
 FROM hits LEFT JOIN nb USING (id) LEFT JOIN e USING (id) LEFT JOIN k USING (id)""")
 def expand_context(spark, d):
-    chunks = _chunks(spark, d)
-    hits = chunks.orderBy(F.desc("l_extendedprice"), "id").limit(20).select("id", "doc")
-    near = chunks.join(hits.select("doc").distinct(), "doc", "left_semi")
+    # Only orders with a line at or over the twentieth price can hold a hit: only they are numbered.
+    items = _t(spark, d, "lineitem")
+    least = items.select("l_extendedprice").orderBy(F.desc("l_extendedprice")).limit(20).agg(F.min("l_extendedprice"))
+    docs = items.where(F.col("l_extendedprice") >= least.scalar()).select("l_orderkey").distinct()
+    near = _numbered(items.join(docs, "l_orderkey", "left_semi"))
+    hits = near.orderBy(F.desc("l_extendedprice"), "id").limit(20).select("id", "doc")
     links = retrieve.next_links(near, "doc", ["seq"], "id")
     supplier, part = _t(spark, d, "supplier"), _t(spark, d, "part")
     named = near.join(supplier, near.l_suppkey == supplier.s_suppkey).select(F.col("id").alias("chunk_id"), F.col("s_name").alias("name"))
@@ -227,7 +225,7 @@ def claim_support(spark, d):
     """Numbers of documents against those of the first document of their source."""
     docs = _t(spark, d, "documents")
     known = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("evidence"))
-    got = guard.claim_support(docs.join(known, "source"), "text", "evidence")
+    got = guard.claim_support_by(docs, "source", "text", known, "evidence")
     return got.select("doc_id", "claim_total_count", "supported_claim_count", "unsupported_claim_count", F.round("claim_support_ratio", 6).alias("claim_support_ratio"), F.array_join("unsupported_claims", ",").alias("unsupported_claims"))
 
 
@@ -282,7 +280,7 @@ def question_normalise(spark, d):
 @query("SELECT DISTINCT upper('c' || c_nationkey) AS ticker, c_mktsegment AS name FROM customer WHERE c_nationkey IS NOT NULL")
 def company_catalog(spark, d):
     rows = _t(spark, d, "customer").where("c_nationkey is not null").select(F.upper(F.concat(F.lit("c"), "c_nationkey")).alias("ticker"), F.col("c_mktsegment").alias("name"))
-    return rows.where(F.trim("ticker") != "").distinct().orderBy("ticker", "name")
+    return jobs.catalog(rows, F.col("ticker"), F.col("name"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
@@ -293,7 +291,7 @@ def list_documents_page(spark, d):
 
 @query("SELECT event_type, count(*) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def count_total(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("total"), F.countDistinct("user_id").alias("users"))
+    return jobs.count_total(_t(spark, d, "events"), "event_type", "user_id")
 
 
 @query("""WITH o AS (SELECT o_custkey, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS sections FROM orders GROUP BY 1),
@@ -303,11 +301,9 @@ FROM customer LEFT JOIN o ON o.o_custkey = c_custkey LEFT JOIN c ON c.o_custkey
 def doc_graph_stats(spark, d):
     orders, items = _t(spark, d, "orders"), _t(spark, d, "lineitem")
     sections = orders.select(F.col("o_custkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM").alias("id"))
-    both = orders.join(items, orders.o_orderkey == items.l_orderkey).select(F.col("o_custkey").alias("doc_id"), "l_partkey")
-    c = both.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.countDistinct("l_partkey").alias("tables"))
-    s = sections.groupBy("doc_id").agg(F.countDistinct("id").alias("sections"))
-    out = _t(spark, d, "customer").select(F.col("c_custkey").alias("doc_id")).join(s, "doc_id", "left").join(c, "doc_id", "left").na.fill(0)
-    return out.select("doc_id", "sections", "chunks", "tables", ((F.col("sections") > 0) | (F.col("chunks") > 0)).alias("has_graph_data"))
+    both = orders.join(items, orders.o_orderkey == items.l_orderkey).select(F.col("o_custkey").alias("doc_id"), F.struct("l_orderkey", "l_linenumber", F.xxhash64(*items.columns)).alias("chunk"), "l_partkey")
+    chunks, parts = both.select("doc_id", F.col("chunk").alias("id")), both.select("doc_id", F.col("l_partkey").alias("id"))
+    return graph.document_counts(_t(spark, d, "customer").select(F.col("c_custkey").alias("id")), sections, chunks, parts)
 
 
 @query("""WITH x AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS status, CASE WHEN event_id % 2 = 0 THEN value END AS value, ts FROM events)
@@ -329,16 +325,7 @@ def job_progress(spark, d):
 
 @query("SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM events")
 def running_counts(spark, d):
-    return jobs.running(_t(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "click").select("event_id", "user_id", "so_far")
-
-
-@query("""WITH old AS (SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'A' || c_custkey END AS t FROM customer WHERE c_custkey % 2 = 0),
-new AS (SELECT c_name AS name, 'B' || c_custkey AS t FROM customer WHERE c_custkey % 5 = 0)
-SELECT coalesce(old.name, new.name) AS name, coalesce(old.t, new.t) AS ticker FROM old FULL JOIN new ON old.name = new.name""")
-def upsert_company(spark, d):
-    c, k = _t(spark, d, "customer"), F.col("c_custkey")
-    old = c.where(k % 2 == 0).select(F.col("c_name").alias("name"), F.when(k % 3 != 0, F.concat(F.lit("A"), k)).alias("ticker"))
-    return graph.upsert_company(old, c.where(k % 5 == 0).select(F.col("c_name").alias("name"), F.concat(F.lit("B"), k).alias("ticker")))
+    return jobs.running(_t(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "click", bucket=F.date_trunc("week", "ts")).select("event_id", "user_id", "so_far")
 
 
 @query("""WITH new AS (SELECT o_orderkey, 'N' AS status, o_totalprice * 2 AS price FROM orders WHERE o_orderkey % 4 = 0)
@@ -489,25 +476,25 @@ def overall_threshold(spark, d):
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def missing_ids(spark, d):
     orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return _t(spark, d, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
+    return jobs.absent(_t(spark, d, "customer").select("c_custkey"), orders, "c_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def existing_ids(spark, d):
     orders = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return _t(spark, d, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_semi")
+    return jobs.present(_t(spark, d, "customer").select("c_custkey", "c_name"), orders, "c_custkey")
 
 
 @query("WITH r AS (SELECT unnest([5, 3, 999999999, 1]) AS id, unnest([0, 1, 2, 3]) AS pos) SELECT r.pos, r.id, o_orderstatus FROM r LEFT JOIN orders ON o_orderkey = r.id")
 def requested_order(spark, d):
     asked = spark.range(1).select(F.posexplode(F.lit([5, 3, 999999999, 1])).alias("pos", "id"))
     orders = _t(spark, d, "orders").where(F.col("o_orderkey").isin(5, 3, 999999999, 1))
-    return asked.join(orders, asked["id"] == orders["o_orderkey"], "left").select("pos", "id", "o_orderstatus")
+    return jobs.in_order(asked, orders, "id", "o_orderkey").select("pos", "id", "o_orderstatus")
 
 
 @query("SELECT conv_id, turn, split_part(conv_id || '_' || turn || '_x', '_', 1) AS doc_id FROM conversations")
 def doc_id_from_source(spark, d):
-    return _t(spark, d, "conversations").select("conv_id", "turn", F.split_part(F.concat_ws("_", "conv_id", "turn", F.lit("x")), F.lit("_"), F.lit(1)).alias("doc_id"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", jobs.document_of(F.concat_ws("_", "conv_id", "turn", F.lit("x"))).alias("doc_id"))
 
 
 _READY = """x AS (SELECT o_orderkey, ['answer', 'clarify', 'request_ingestion', 'odd'][1 + o_orderkey % 4] AS mode, CASE WHEN o_orderkey % 3 = 0 THEN 'Not in the Company Catalog' ELSE 'no data' END AS reason,
@@ -549,12 +536,12 @@ def embedding_dims(spark, d):
 
 @query("SELECT conv_id, coalesce(arg_min(text, turn), CAST(conv_id AS VARCHAR)) AS title FROM conversations GROUP BY conv_id")
 def thread_titles(spark, d):
-    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.coalesce(F.min_by("text", "turn"), F.first("conv_id").cast("string")).alias("title"))
+    return jobs.thread_titles(_t(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query("SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events QUALIFY previous IS NULL OR previous <> event_type")
 def status_transitions(spark, d):
-    return jobs.transitions(_t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type", "previous")
+    return jobs.transitions(_t(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type", F.date_trunc("week", "ts")).select("user_id", "event_id", "event_type", "previous")
 
 
 @query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ' Non_Financial' WHEN o_orderkey % 3 = 1 THEN 'x' END AS e, ['robustness', 'trend', 'Out_Of_Scope'][1 + o_orderkey % 3] AS c FROM orders)
@@ -566,12 +553,6 @@ def expected_domain(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", tools.expected_domain(e, c).alias("expected"))
 
 
-@query("""SELECT doc_id % 50 AS g, string_agg('[chunk | ' || coalesce(source, 'None') || ' | ' || coalesce(lang, 'None') || ' | None | score=' || (doc_id % 7) || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS serialised FROM documents WHERE n_chars < 500 GROUP BY 1""")
-def evidence_text(spark, d):
-    rows = _t(spark, d, "documents").where("n_chars < 500").select((F.col("doc_id") % 50).alias("g"), "doc_id", F.lit("chunk").alias("source_type"), F.col("source").alias("doc_type"), F.col("lang").alias("period"), F.lit(None).cast("string").alias("section_type"), (F.col("doc_id") % 7).alias("score"), "text")
-    return evi.serialised(rows, "g", "doc_id")
-
-
 @query("SELECT page_id AS doc_id, len(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: length(x) > 3)) AS n_headings FROM pages")
 def page_headings(spark, d):
     return files.html_pages(_t(spark, d, "pages")).select("doc_id", F.size("headings").cast("bigint").alias("n_headings"))
@@ -579,8 +560,7 @@ def page_headings(spark, d):
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def status_windows(spark, d):
-    w = F.window("ts", "1 day")
-    return _t(spark, d, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("w.start", "event_type", "n", "total")
+    return jobs.windows(_t(spark, d, "events"), "ts", "event_type", "value")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS short, replace(left(text, 200), chr(10), ' ') AS snippet, split_part(text, ' ', 1) AS first FROM documents")
@@ -670,3 +650,6 @@ def labelled_rates(spark, d):
 def message_reduce(spark, d):
     rows = _t(spark, d, "conversations").select("conv_id", "turn", "role")
     return jobs.reduce_messages(rows.where("turn <= 3"), rows.where("turn >= 2").withColumn("role", F.upper("role")), ["conv_id", "turn"])
+
+
+from . import flows  # noqa: E402, F401  (registers its queries)

@@ -11,6 +11,12 @@ TOOLS = ["chunk_search", "table_search", "graph_traversal"]
 JOB_STATES = ["QUEUED", "RUNNING", "COMPLETED", "FAILED", "CANCELLED"]
 DOCUMENT_STATES = ["UPLOADED", "INGESTING", "INGESTED", "FAILED"]
 
+STAGES = ["UPLOADING", "PARSING", "CHUNKING", "EMBEDDING", "EXTRACTION", "WRITING"]
+#: States that may follow a state; a repeated state is an update.
+JOB_NEXT = {"QUEUED": ["RUNNING", "CANCELLED", "FAILED"], "RUNNING": ["COMPLETED", "FAILED", "CANCELLED"], "COMPLETED": [], "FAILED": [], "CANCELLED": []}
+DOCUMENT_NEXT = {"UPLOADED": ["INGESTING", "FAILED"], "INGESTING": ["INGESTED", "FAILED"], "INGESTED": ["INGESTING"], "FAILED": ["INGESTING"]}
+
+MOST_HITS = 20
 MAX_ENTITY_CHUNKS = 20
 QUALITY_MIN_EVIDENCE = 2
 QUALITY_MIN_SCORE = 0.35
@@ -40,5 +46,15 @@ EXTRACTION = "struct<entities array<struct<name string, type string, properties
 TESTSET = "category string, question string, reference string, ticker string, period string, expected_domain string, retrieval_hint string"
 EVIDENCE = ["source_type", "source_id", "doc_id", "doc_type", "period", "section_id", "section_type", "page", "score", "ticker", "text"]
 
+#: What a question leaves behind, as read by evaluation.
+STATE = (
+    "case_id long, final_answer struct<answer string, confidence string, bullets array<string>, citations array<struct<source_type string, source_id string>>>, "
+    "evidence array<struct<source_type string, source_id string>>, chunk_hits array<string>, table_hits array<string>, "
+    "retrieval_quality struct<evidence_count int, avg_score double>, "
+    "evaluation_signals struct<citation_coverage double, confidence string, claim_support_ratio double, claim_total_count int, unsupported_claim_count int, confidence_overridden boolean>, "
+    "policy_flags struct<domain_gate_passed boolean, domain_confidence string, domain_reason string, domain_signals array<string>, domain_adjudication_used boolean>, "
+    "domain_status string, retry_count int, error_class string, blocked_reason string"
+)
+
 #: Keys that must be unique, by table.
 KEYS = {"company": ["name"], "company_ticker": ["ticker"], "document": ["id"], "section": ["id"], "chunk": ["id"], "doc_table": ["id"], "entity": ["label", "name"], "job": ["id"]}

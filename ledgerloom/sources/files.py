@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pathlib import Path
 from typing import BinaryIO
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,18 @@ def missing_files(spark: SparkSession, documents: DataFrame, folder: str) -> Dat
     return documents.join(there, "filename", "left_anti")
 
 
+def document_content(spark: SparkSession, documents: DataFrame, doc_id: str) -> bytes:
+    """The bytes of a document's file; raises FileNotFoundError if the document, its path or its file is missing."""
+    row = documents.where(F.col("id") == doc_id).select("file_path").first()
+    if row is None or not row["file_path"]:
+        raise FileNotFoundError(f"document {doc_id} has no file")
+    try:
+        found = spark.read.format("binaryFile").load(row["file_path"]).select("content").first()
+    except AnalysisException as error:
+        raise FileNotFoundError(f"{row['file_path']} isn't there") from error
+    return bytes(found["content"])
+
+
 def persist_upload(stream: BinaryIO, filename: str | None, doc_id: str, folder: str, block: int = 1 << 20) -> tuple[str, int]:
     """Blocks of 1 MiB to ``{doc_id}{suffix}``; the path and size."""
     if not filename:
