@@ -28,6 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others (iterated estimates, classifiers, tokenizers, XXH64 fingerprints, entropy
-    windows) have no SQL over whole tables; tests hold them against brute force."""
+    """The others (iterated estimates, classifiers, tokenizers, XXH64 fingerprints) have no
+    SQL over whole tables; tests hold them against brute force."""
     return sql.oracle_sql()

@@ -21,20 +21,32 @@ GATES = {"assign": BASE["assign"][0], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0
 KINDS = [*BASE, "entropy"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: The alphabet as a character class.
+RUN = "A-Za-z0-9+/_=-"
 WINDOW = 20
 #: Runs of the alphabet that have a digit and a letter, a window long at least.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 #: Bits a character that a window must have, by the character class of the candidate.
 LEAST_BITS = {"hex": 2.9, "word": 3.6}
-#: Candidates that are never secrets: UUIDs, digests named as such, paths and slugs of plain words, placeholders.
+#: Paths and slugs of plain words and short numbers.
+SLUG = r"^/?([a-z]*|[0-9]{1,4})([/_-]([A-Za-z]?[a-z]*|[0-9]{1,4}))+$"
+#: Candidates that are never secrets: UUIDs, digests named as such, paths and slugs, placeholders.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(sha1|sha256|sha384|sha512|md5)[-=]",
-    r"^/?([a-z]*|[0-9]{1,4})([/_-]([A-Za-z]?[a-z]*|[0-9]{1,4}))+$",
+    SLUG,
     r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
 ]
 
 
+def _is_slug(candidate: Column) -> Column:
+    """Whether SLUG matches, part by part: a repeated group in a pattern takes stack for each
+    turn. A leading slash makes the first part empty, which it may be."""
+    first, other = r"^([a-z]*|[0-9]{1,4})$", r"^([A-Za-z]?[a-z]*|[0-9]{1,4})$"
+    parts = F.split(candidate, "[/_-]", -1)
+    return let(parts, lambda p: (F.size(p) > 1) & F.get(p, 0).rlike(first) & F.forall(F.slice(p, F.lit(2), F.size(p)), lambda x: x.rlike(other)))
+
+
 def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
     """[start, end) of the leftmost non-overlapping matches whose group is long enough.
 
@@ -100,7 +112,7 @@ def _window_span(candidate: Column) -> Column:
 
     allowed = F.lit(False)
     for pattern in ALLOWED:
-        allowed = allowed | candidate.rlike(pattern)
+        allowed = allowed | (_is_slug(candidate) if pattern == SLUG else candidate.rlike(pattern))
     return F.when(~allowed, scan(candidate))
 
 
@@ -122,7 +134,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with a column __spans, array of (start, kind number, end), sorted; code points.
 
     Base matches always are in it; a high-entropy span is added unless one base match
-    covers it. Null and empty texts have none.
+    covers it. Null and empty texts have none; spans that start together are ordered by
+    kind. Each row is judged by its whole text alone, however long, so repeated rows get
+    the same spans and an empty table an empty result; a column named __spans is replaced.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     parts = []
@@ -156,16 +170,23 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every found span is replaced by ``[secret]``, n_chars counted anew."""
+    """Pipeline stage: every found span is replaced by ``[secret]``, n_chars counted anew.
+
+    A null text stays null; rows are neither dropped nor joined, and other columns stay.
+    """
     text = F.col("text").cast("string")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
 
+    # Spans that overlap are one: the pieces are between the ends so far and the next start.
     def step(acc, s):
-        over = s["end"] <= acc["at"]
-        out = F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[secret]"))).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(over, acc["out"]).otherwise(out).alias("out"))
+        piece = F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end")))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    def joined(found):
+        between = F.transform(found["out"], lambda p: F.substring(text, p["start"] + 1, p["end"] - p["start"]))
+        return F.array_join(F.concat(between, F.array(F.substring(text, found["at"] + 1, F.length(text)))), "[secret]")
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = let(F.aggregate("__spans", start, step), joined)
     hit = F.size("__spans") > 0
     out = with_spans(docs).withColumn("__clean", F.when(hit, clean).otherwise(text))
     if "n_chars" in docs.columns:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import urlgraph
+import re
+
+from . import secrets_scan, urlgraph
 
 #: Bytes covered by a 50-byte string that also starts in a document of smaller doc_id.
 SUFFIX = """WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
@@ -59,5 +61,31 @@ SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN distrust > {half}
 coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM p LEFT JOIN b ON b.host = p.host"""
 
 
+def secrets() -> str:
+    """Places of matches are running lengths of what stands between them and of themselves."""
+    quoted = lambda p: p.replace("'", "''")
+    # RE2 folds two letters beyond ASCII into k and s, so both cases are written out.
+    folded = re.sub(r"\(\?i:(.*?)\)\)", lambda m: re.sub("[a-z]", lambda x: f"[{x[0]}{x[0].upper()}]", m[1]) + ")", secrets_scan.BASE["assign"][0])
+    patterns = [(folded, 2, secrets_scan.BASE["assign"][2]), *list(secrets_scan.BASE.values())[1:], (f"[{secrets_scan.RUN}]{{{secrets_scan.WINDOW},}}", 0, 0)]
+    found = " UNION ALL ".join(f"SELECT r, {k} AS kind, {least} AS least, string_split_regex(t, '{quoted(p)}') AS g, regexp_extract_all(t, '{quoted(p)}', 0) AS w, regexp_extract_all(t, '{quoted(p)}', {group}) AS v FROM t" for k, (p, group, least) in enumerate(patterns))
+    allowed = " OR ".join(f"regexp_matches(w, '{quoted(p)}')" for p in secrets_scan.ALLOWED)
+    n, bits = secrets_scan.WINDOW, secrets_scan.LEAST_BITS
+    names = " ".join(f"WHEN {k} THEN '{kind}'" for k, kind in enumerate(secrets_scan.KINDS))
+    written = f"CASE kind {names} END || ':' || a || ':' || z"
+    counts = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{kind}" for k, kind in enumerate(secrets_scan.BASE))
+    return f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+e AS (SELECT r, kind, least, unnest(range(len(w))) AS i, unnest(w) AS w, unnest(v) AS v, unnest(g[1:len(w)]) AS g FROM m),
+p AS MATERIALIZED (SELECT r, kind, least, w, v, CAST(sum(length(g) + length(w)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS z FROM e),
+base AS (SELECT r, kind, z - length(w) AS a, z FROM p WHERE kind < {len(patterns) - 1} AND length(v) >= least),
+c AS (SELECT r, z - length(w) AS a, w, CASE WHEN regexp_full_match(w, '[0-9A-Fa-f]+') THEN {bits["hex"]} ELSE {bits["word"]} END AS bits FROM p
+  WHERE kind = {len(patterns) - 1} AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]') AND NOT ({allowed})),
+h AS (SELECT r, a, bits, i, list_entropy(string_split(w[i + 1:i + {n}], '')) AS x FROM (SELECT *, unnest(range(length(w) - {n - 1})) AS i FROM c)),
+s AS (SELECT r, a + min(i) AS a, a + max(i) + {n} AS z FROM h WHERE round(x, 9) >= bits GROUP BY r, h.a),
+every AS (SELECT * FROM base UNION ALL SELECT r, {len(patterns) - 1}, a, z FROM s WHERE NOT EXISTS (FROM base b WHERE b.r = s.r AND b.a <= s.a AND s.z <= b.z)),
+o AS (SELECT r, {counts}, string_agg({written}, ',' ORDER BY a, kind, z) FILTER (kind < {len(patterns) - 1}) AS base, string_agg({written}, ',' ORDER BY a, kind, z) AS spans FROM every GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN o USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": urls(), "op7_suffix_array_dedup": SUFFIX, "op10_embedding_near_dedup": EMBEDDINGS}
+    return {"op8_secret_scans": secrets(), "op4_url_filters": urls(), "op7_suffix_array_dedup": SUFFIX, "op10_embedding_near_dedup": EMBEDDINGS}

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import secrets_scan as ss
 
 from .helpers import DOCS, edge_rows, frame, write
@@ -87,3 +89,39 @@ def test_redaction(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert got == {1: ("é [secret] end", 14), 2: ("clean", 5), 3: (None, None), 4: ("[secret] z", 10)}
     assert DOCS
+
+
+def test_slugs_of_many_shapes(spark):
+    rng = random.Random(9)
+    parts = ["", "a", "Ab", "AB", "abc", "1", "12345", "2024", "aB", "x9", "/", "_", "-", "=", "+", "path", "File"]
+    rows = [(i, " ".join("".join(rng.choice(parts) + rng.choice("/_-/") for _ in range(rng.randrange(4, 12))) for _ in range(8)) + " 9a", None, None, None) for i in range(200)]
+    check(ss_query(spark, rows), [(r[0], r[1]) for r in rows])
+
+
+def ss_query(spark, rows):
+    got = ss.with_spans(frame(spark, rows))
+    of_kind = lambda k: F.filter("__spans", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).alias(f"n_{kind}") for k, kind in enumerate(ss.BASE)]
+    return got.select("doc_id", *counts, F.sha2(ss._written(F.filter("__spans", lambda s: s["kind"] < len(ss.BASE))), 256).alias("base_sha256"), ss._written(F.col("__spans")).alias("spans"))
+
+
+def test_very_long_texts_of_one_kind(spark, tmp_path):
+    n, rng = 1_000_000, random.Random(1)
+    word = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000))
+    texts = ["ab/12/" * (n // 6), "a-b_" * (n // 4) + "1", "/Ab" * 100_000 + "/1", word, "word " * (n // 5), "aB3" * 20_000]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["spans"] for r in ss.op8_secret_scans(spark, write(spark, tmp_path, rows)).collect()}
+    assert got[0] == got[1] == got[2] == got[4] == got[5] == "" and got[3] == "entropy:0:20000"
+
+
+def test_redaction_of_overlapping_and_touching_spans(spark):
+    rows = secret_rows()
+    found = {r["doc_id"]: (r["text"], [tuple(s) for s in r["__spans"]]) for r in ss.with_spans(frame(spark, rows)).collect()}
+    for r in ss.redacted(spark, frame(spark, rows), "").collect():
+        text, spans = found[r["doc_id"]]
+        out, at = [], 0
+        for a, _, z in spans:
+            if a >= at:
+                out += [text[at:a], "[secret]"]
+            at = max(at, z)
+        assert r["text"] == (None if text is None else "".join(out) + text[at:])
