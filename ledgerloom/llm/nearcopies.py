@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -53,8 +53,8 @@ def bands(h: np.ndarray) -> list[int]:
 
 def _signatures(batches):
     for batch in batches:
-        ids, first, second, size, keys = batch.column(0), [], [], [], []
-        for t in batch.column(1):
+        first, second, size, keys = [], [], [], []
+        for t in batch.column(2):
             text = t.as_py()
             h = shingles(text)
             both = xxhash.xxh128_intdigest(h.tobytes())
@@ -63,7 +63,7 @@ def _signatures(batches):
             size.append(len(text or ""))
             keys.append(np.array(bands(h), np.uint64).view(np.int64))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
-        yield pa.RecordBatch.from_arrays([ids, *longs, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "size", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "h1", "h2", "size", "bands"])
 
 
 def similar(sets: list[np.ndarray], home: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -109,30 +109,44 @@ def _verified(key, rows):
     return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
 
+def mark(text) -> Column:
+    """What tells texts of a shared doc_id apart."""
+    return F.xxhash64(F.col(text) if isinstance(text, str) else text)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row of ``docs``.
+    """(doc_id, mark, component_id, first) of every row of ``docs``.
 
     Documents link when the Jaccard similarity of their WIDTH-word shingles is LEAST or
-    more; component_id is the smallest doc_id reachable. Texts without words link with
-    each other. A null doc_id keeps its row: it never is the smallest of a component that
-    has another one. Repeated rows are linked to each other; an empty table gives an
-    empty result.
+    more; component_id is the smallest doc_id reachable, and first tells that the row's
+    doc_id and text are those that stand for the component: of smallest doc_id and then
+    of smallest ``mark`` of the text. Texts without words link with each other. Different
+    texts under one doc_id link only if they are similar. A null doc_id keeps its row: it
+    never is the smallest of a component that has another one. Repeated rows are linked to
+    each other; an empty table gives an empty result.
     """
     scratch = Scratch(spark, "nearcopies")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = scratch.write(texts.mapInArrow(_signatures, "doc_id long, h1 long, h2 long, size long, bands array<long>"))
-    # Texts of equal sets are one class, which its smallest doc_id stands for.
-    classes = scratch.write(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("size").alias("size"), F.first("bands").alias("bands")))
-    spread = classes.where("node is not null").select("node", F.explode("bands").alias("key"))
-    low = spread.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = connected_components(spread.join(low, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), scratch)
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark(text).alias("mark"), text.alias("text"))
+    prints = scratch.write(texts.mapInArrow(_signatures, "doc_id long, mark long, h1 long, h2 long, size long, bands array<long>"))
+    # Texts of equal sets are one class, which its first row stands for. Its node is a number of its own.
+    low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("low")
+    classes = prints.groupBy("h1", "h2").agg(low, F.max("size").alias("size"), F.first("bands").alias("bands"))
+    classes = scratch.write(classes.where("low is not null").withColumn("node", F.monotonically_increasing_id()))
+    spread = classes.select("node", F.explode("bands").alias("key"))
+    least = spread.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = connected_components(spread.join(least, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), scratch)
     members = scratch.write(groups.select("node", "component").unionByName(groups.select(F.col("component").alias("node"), "component").distinct()))
-    large = members.join(classes.select("node", "size"), "node").groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).cast("int").alias("parts"))
-    large = scratch.write(large)
-    rows = texts.join(members.join(large, "component"), texts["doc_id"] == members["node"]).select("node", "component", "parts", "text")
+    named = members.join(classes.select("node", "low", "size"), "node")
+    large = named.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).cast("int").alias("parts"))
+    chosen = named.join(scratch.write(large), "component").select("node", "component", "parts", F.col("low.doc_id").alias("doc_id"), F.col("low.mark").alias("mark"))
+    rows = texts.join(chosen, ["doc_id", "mark"]).select("node", "component", "parts", "text")
     rows = rows.withColumn("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"first": F.least("home", "other"), "second": F.greatest("home", "other")}).drop("other", "parts")
     links = scratch.write(rows.groupBy("component", "first", "second").applyInArrow(_verified, "a long, b long"))
-    found = connected_components(links, scratch).withColumnRenamed("component", "low")
-    named = classes.join(found, "node", "left").select("h1", "h2", F.coalesce("low", "node").alias("component_id"))
-    return prints.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "component_id")
+    found = connected_components(links, scratch)
+    whole = classes.select("h1", "h2", "node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = scratch.write(whole.groupBy("component").agg(F.min("low").alias("head")))
+    whole = whole.join(heads, "component").select("h1", "h2", "head")
+    first = F.coalesce((F.col("doc_id") == F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark")), F.lit(False))
+    return prints.select("doc_id", "mark", "h1", "h2").join(whole, ["h1", "h2"], "left").select("doc_id", "mark", F.col("head.doc_id").alias("component_id"), first.alias("first"))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, chunks, table
 from .components import connected_components, forest
-from .nearcopies import near_copies
+from .nearcopies import mark, near_copies
 
 #: h of a shingle is its XXH64 with this seed.
 SEED = 42
@@ -179,16 +180,17 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document of smallest doc_id stays.
+    """Pipeline stage: of each group of near copies one document stays, that of smallest doc_id.
 
     Near copies are texts of five-word Jaccard similarity 0.8 or more and what they reach.
-    Of repeated doc_ids within a group one row stays; rows with a null doc_id stay.
+    Different texts under one doc_id are documents of their own: if they are near copies and
+    the smallest, the one of smallest text hash stays. Of rows with equal doc_id and text the
+    one stays whose other columns have the smallest hash. Rows with a null doc_id stay.
     """
-    columns = docs.columns
-    got = near_copies(spark, docs)
-    kept = got.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    # The join has dealt and sorted the rows by doc_id already.
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    one = stay.select(*columns, turn.alias("__turn")).where("__turn = 1").select(columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    got = near_copies(spark, docs).where("first").select("doc_id", "mark").distinct()
+    # Maps can't be hashed; the other columns order copies.
+    plain = [f"`{f.name}`" for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), mark(F.col("text").cast("string")).alias("mark"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.xxhash64(*plain).alias("turn"))
+    # Copies become one before they are dealt out, by what the join deals by as well.
+    one = named.groupBy("doc_id", "mark").agg(F.min_by("row", "turn").alias("row"))
+    return one.join(got, ["doc_id", "mark"], "left_semi").select("row.*").unionByName(docs.where("doc_id is null"))

@@ -66,3 +66,18 @@ def test_threshold_is_met_exactly():
     home = np.zeros(3, np.int64)
     i, j = nearcopies.similar([x, x[:8], x[:7]], home, False)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1), (1, 2)]  # 8/10, 7/8; not 7/10
+
+
+def test_texts_that_share_a_doc_id(spark):
+    rng = random.Random(11)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (1, b, "fr", "t", 2), (2, a + " tail", "en", "s", 3), (3, c, "en", "s", 4), (3, c + " end", "en", "s", 5), (4, None, None, None, None)]
+    rows += [(None, a, "en", "s", 6), (None, None, None, None, None)]
+    for order in (rows, rows[::-1]):
+        got = sorted((r["doc_id"], r["text"] or "", r["lang"] or "") for r in simhash.keep_one(spark, frame(spark, order), "").where("doc_id is not null").collect())
+        assert [r[0] for r in got] == [1, 1, 3, 4] and {got[0][1], got[1][1]} == {a, b} and got[2][1] in (c, c + " end")
+        first = got if order is rows else first
+        assert got == first
+    assert simhash.keep_one(spark, frame(spark, rows), "").where("doc_id is null").count() == 2
+    wide = frame(spark, rows).selectExpr("*", "1 as `__id`", "map(1, 2) as m", "'x' as node", "2 as mark")
+    assert simhash.keep_one(spark, wide, "").columns == wide.columns
