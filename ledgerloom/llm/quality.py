@@ -17,9 +17,12 @@ FLOORS = {"size": 0.35, "word_length": 0.10, "symbols": 0.05, "dup_lines": 0.10,
 DIMS = list(FLOORS)
 #: Share of a group's rows that the determinant is made small over.
 SHARE = 0.75
-STEPS = 4
-#: A group (language, source) with fewer rows joins its language's; then all together.
-LEAST_ROWS = 200
+#: Concentration steps run until no group's determinant falls by more than SETTLED (of its
+#: logarithm), which takes a handful; MOST_STEPS only bounds estimates that swing between bins.
+SETTLED, MOST_STEPS = 1e-4, 30
+#: Rows that the estimate of a group (language, source) needs, ten for each dimension; a
+#: smaller group joins its language's, then all small ones together.
+LEAST_ROWS = 10 * len(FLOORS)
 #: Quantile of the chi-square distribution beyond which a row is rejected. Texts' tails
 #: are heavier than the normal distribution's; farther out junk stays (see README).
 REJECT = 0.999999
@@ -212,59 +215,64 @@ def minimum_determinant(scratch: Scratch, rows: DataFrame) -> DataFrame:
 
     Two starts, by medians and by all rows, are improved side by side by concentration
     steps: the ``SHARE`` of rows nearest to the estimate gives the next one, whose
-    determinant isn't larger. The start with the smaller determinant wins; the rows
-    within its 97.5 % ellipsoid give the final estimate.
+    determinant isn't larger, until it stands still. The start with the smaller determinant
+    wins; the rows within its 97.5 % ellipsoid give the final estimate.
     """
     p = len(DIMS)
     starts = _medians(scratch, rows).withColumn("start", F.lit(0)).unionByName(_estimate(rows, ["grp"], 1.0).withColumn("start", F.lit(1)))
     now = scratch.write(starts)
     factor = consistency(SHARE, p)
     keys = ["grp", "start"]
-    for _ in range(STEPS):
+    for _ in range(MOST_STEPS):
         far = rows.join(now, "grp").withColumn("bin", _bins(F.log(_distance() + 1e-6)))
         cut = scratch.write(_quantile(far, keys, F.col("bin"), SHARE).withColumnRenamed("bin", "most"))
         following = scratch.write(_estimate(far.join(cut, keys).where("bin <= most"), keys, factor))
+        fell = following.join(now.select(*keys, F.col("logdet").alias("before")), keys).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
         scratch.drop(cut)
         scratch.drop(now)
         now = following
+        if fell is None or fell <= SETTLED:
+            break
     best = now.groupBy("grp").agg(F.min_by(F.struct("start", *_ESTIMATE), F.struct("logdet", "start")).alias("e")).select("grp", *(f"e.{c}" for c in _ESTIMATE))
     best = scratch.write(best)
     inner = rows.join(best, "grp").where(_distance() <= chi2_quantile(0.975, p)).select("grp", *DIMS)
     return scratch.write(_estimate(inner, ["grp"], consistency(0.975, p)))
 
 
-def with_groups(scratch: Scratch, stats: DataFrame) -> DataFrame:
+def with_groups(scratch: Scratch, stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Rows that pass the base rules, with features and the group whose estimate they get."""
     rows = stats.where("not base_failed")
     own = F.struct(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     counts = scratch.write(rows.groupBy(own.alias("own")).count())
     lang = Window.partitionBy("own.lang")
-    small = F.col("count") < LEAST_ROWS
+    small = F.col("count") < least_rows
     pooled = F.sum(F.when(small, F.col("count")).otherwise(0)).over(lang)
-    name = F.when(~small, F.concat_ws("\x00", F.lit("s"), "own.lang", "own.source")).when(pooled >= LEAST_ROWS, F.concat_ws("\x00", F.lit("l"), "own.lang")).otherwise(F.lit("all"))
+    name = F.when(~small, F.concat_ws("\x00", F.lit("s"), "own.lang", "own.source")).when(pooled >= least_rows, F.concat_ws("\x00", F.lit("l"), "own.lang")).otherwise(F.lit("all"))
     named = scratch.write(counts.select("own", name.alias("grp")))
     return rows.withColumn("own", own).join(named, "own").withColumns(_features())
 
 
-def quality(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` the base statistics, base_failed, distance and kept.
+def quality(spark: SparkSession, docs: DataFrame, least_rows: int = LEAST_ROWS, reject: float = REJECT) -> DataFrame:
+    """Per row of ``docs`` the base statistics, base_failed, distance, kept and the group
+    whose estimate judged it (null where the base rules did).
 
     Estimates are made for each (lang, source) from the rows that pass the base rules;
-    such a row is rejected if its squared Mahalanobis distance is beyond the REJECT
-    quantile. Null lang and source are groups of their own; groups of under LEAST_ROWS
+    such a row is rejected if its squared Mahalanobis distance is beyond the ``reject``
+    quantile. Null lang and source are groups of their own; groups of under ``least_rows``
     rows are pooled by language, and such pools together; ties and repeated rows count
-    each. Null and empty texts fail the base rules. An empty table gives an empty result.
+    each. Null and empty texts fail the base rules; texts are read whole, however long. An
+    empty table gives an empty result.
     """
     scratch = Scratch(spark, "quality")
     stats = scratch.write(with_statistics(docs))
-    rows = scratch.write(with_groups(scratch, stats))
+    rows = scratch.write(with_groups(scratch, stats, least_rows))
     estimates = minimum_determinant(scratch, rows.select("grp", *DIMS))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = rows.join(estimates, "grp", "left").select(*cols, F.round(_distance(), 6).alias("distance"))
-    judged = judged.withColumn("kept", F.coalesce(F.col("distance") <= chi2_quantile(REJECT, len(DIMS)), F.lit(True)))
-    failed = stats.where("base_failed").select(*cols, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    judged = rows.join(estimates, "grp", "left").select(*cols, F.round(_distance(), 6).alias("distance"), F.replace("grp", F.lit("\x00"), F.lit("/")).alias("grp"))
+    judged = judged.withColumn("kept", F.coalesce(F.col("distance") <= chi2_quantile(reject, len(DIMS)), F.lit(True)))
+    failed = stats.where("base_failed").select(*cols, F.lit(None).cast("double").alias("distance"), F.lit(None).cast("string").alias("grp"), F.lit(False).alias("kept"))
     return judged.unionByName(failed)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return quality(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", F.col("grp").alias("estimate"))

@@ -102,3 +102,63 @@ def test_repeated_lines_alone_are_enough(spark, tmp_path):
     got = {r["doc_id"]: r for r in quality.op1_quality_rules(spark, write(spark, tmp_path, rows + odd)).collect()}
     assert not any(got[r[0]]["base_failed"] or got[r[0]]["kept"] for r in odd)
     assert all(got[r[0]]["kept"] for r in rows)
+
+
+def plain_estimate(x):
+    """A minimum covariance determinant estimate in plain numpy: exact subsets, no bins."""
+    n, p = x.shape
+    floors = np.diag([f**2 for f in quality.FLOORS.values()])
+    h = int(np.ceil(quality.SHARE * n))
+
+    def moments(rows, factor):
+        return rows.mean(0), np.cov(rows.T, bias=True).reshape(p, p) * factor + floors
+
+    def far(e):
+        d = x - e[0]
+        return np.einsum("ij,ij->i", d @ np.linalg.inv(e[1]), d)
+
+    mid = np.median(x, 0)
+    starts = [(mid, np.diag((1.4826 * np.median(np.abs(x - mid), 0)) ** 2) + floors), moments(x, 1.0)]
+    found = []
+    for e in starts:
+        for _ in range(100):
+            following = moments(x[np.argsort(far(e), kind="stable")[:h]], quality.consistency(quality.SHARE, p))
+            done = np.allclose(following[1], e[1], atol=1e-9)
+            e = following
+            if done:
+                break
+        found.append(e)
+    best = min(found, key=lambda e: np.linalg.slogdet(e[1])[1])
+    inner = x[far(best) <= quality.chi2_quantile(0.975, p)]
+    return moments(inner, quality.consistency(0.975, p))
+
+
+def test_verdicts_match_a_plain_estimate(spark):
+    """On rows of three own groups and a pool, against the estimate without histogram bins."""
+    folder = "/root/testdata/sf0.01"
+    scratch = Scratch(spark, "t")
+    stats = quality.with_statistics(spark.read.parquet(f"{folder}/documents.parquet")).cache()
+    rows = quality.with_groups(scratch, stats).select("doc_id", "grp", *quality.DIMS).toPandas()
+    got = quality.op1_quality_rules(spark, folder).where("not base_failed").toPandas().set_index("doc_id")
+    assert rows.grp.str.startswith("s").any() and rows.grp.nunique() > 3
+    same = total = 0
+    for _, part in rows.groupby("grp"):
+        x = part[quality.DIMS].to_numpy()
+        mean, cov = plain_estimate(x)
+        d = x - mean
+        far = np.einsum("ij,ij->i", d @ np.linalg.inv(cov), d)
+        kept = got.loc[part.doc_id, "kept"].to_numpy()
+        same += (kept == (far <= quality.chi2_quantile(quality.REJECT, len(quality.DIMS)))).sum()
+        total += len(part)
+        near = far < 30
+        assert np.median(np.abs(got.loc[part.doc_id, "distance"].to_numpy()[near] / far[near] - 1)) < 0.1
+    assert same >= 0.99 * total
+
+
+def test_the_least_rows_of_an_own_group(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, rng.randrange(40, 200)), "en", "own" if i < 60 else "few", 1) for i in range(75)] + [(100 + i, sentence(rng, 50), "de", "few", 1) for i in range(3)]
+    df = spark.read.parquet(f"{write(spark, tmp_path, rows)}/documents.parquet")
+    names = lambda **kind: {r["doc_id"]: r["grp"] for r in quality.quality(spark, df, **kind).collect()}
+    assert set(names().values()) == {"s/en/own", "all"} and names()[0] == "s/en/own" and names()[70] == names()[101] == "all"
+    assert set(names(least_rows=10).values()) == {"s/en/own", "s/en/few", "all"} and set(names(least_rows=1000).values()) == {"all"}
