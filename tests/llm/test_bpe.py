@@ -70,3 +70,37 @@ def test_empty_and_repeated(spark, tmp_path):
     assert bpe.op3_byte_bpe(spark, write(spark, tmp_path, [])).count() == 0
     rows = [(1, "same", "en", "s", 1)] * 2 + [(None, None, None, None, None)]
     assert sorted(r["n_tokens"] for r in bpe.op3_byte_bpe(spark, write(spark, tmp_path / "b", rows)).collect()) == [0, 1, 1]
+
+
+def test_long_words_by_heap(spark, tmp_path, ranks):
+    rng = random.Random(5)
+    v = bpe.Vocabulary(ranks)
+    look = lambda a, b: v.pairs.get(a << 17 | b, bpe.NEVER)
+    for n in (1, 2, 30, 200):
+        for letters in ("ab", "etaoin shrdlu", "".join(map(chr, range(97, 123)))):
+            ids = [v.byte_ids[b] for b in "".join(rng.choice(letters) for _ in range(n)).encode()]
+            assert bpe.merge_long(ids, look) == bpe.merge(ids, look)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), "a" * 300_000, "中文字" * 20_000, "-" * 100_000 + " " * 100_000]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    check(bpe.op3_byte_bpe(spark, write(spark, tmp_path, rows)), [(r[0], r[1]) for r in rows], ranks)
+
+
+def test_batches_and_clashing_columns(spark, ranks):
+    rng = random.Random(6)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(i % 50, sentence(rng, rng.randrange(60)) if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as ids", "'y' as batch", "map(doc_id, text) as __0", "2 as decoded")
+    got = bpe.encode(spark, df, ranks, P.PATTERN, batch_bytes=2000)
+    assert got.columns == ["doc_id", "text", "batch", "__0", "decoded", "ids"]
+    found = bpe.decode(spark, got, ranks)
+    assert found.columns == ["doc_id", "text", "batch", "__0", "ids", "decoded"]
+    want = sorted((i, t or "", own.encode_ordinary(t or "")) for i, t in rows)
+    assert sorted((r["doc_id"], r["text"] or "", r["ids"]) for r in found.collect()) == want
+    assert all(bytes(r["decoded"]).decode() == (r["text"] or "") and r["batch"] == "y" for r in found.collect())
+
+
+def test_white_space_is_that_of_the_pattern():
+    import regex
+
+    space = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+    assert {c for c in range(0x110000) if regex.match(r"\s", chr(c))} == space
