@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,17 +39,23 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="ledgerloom-")
 
 
-class Scratch:
-    """Written tables that cut lineage, in the folder of ``spark.checkpoint.dir``.
+def scratch_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where that is unset: a temporary folder if the session is one
+    process, else one in the warehouse, which all executors share."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return _own_folder()
+    return f"{spark.conf.get("spark.sql.warehouse.dir").rstrip("/")}/.ledgerloom"
 
-    Only where that is unset (local tests) a temporary folder is used. Tables are
-    dropped when ``drop`` is called or the driver's Python ends.
-    """
+
+class Scratch:
+    """Written tables that cut lineage, in ``scratch_folder``. They are dropped when ``drop``
+    is called or the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self.drop_all)
 

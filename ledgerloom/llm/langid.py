@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from .common import chunks, table
 
-#: Labelled documents a language that the classifiers are fitted on, at most.
+#: Labelled documents a language that the classifiers are fitted on, at most; each sends
+#: 2 * SIZE bytes to the driver, 5 MB a language.
 PER_LANGUAGE = 500
 #: Hashed byte pairs and byte triples of lower-case letters.
 PAIRS, TRIPLES = 1 << 10, 1 << 12
 SIZE = PAIRS + TRIPLES
 COST, EPOCHS = 10.0, 12
+#: Bytes whose n-grams are counted at once; a longer text is counted in slices.
+SLICE = 1 << 18
 #: Below this score the pipeline rejects a document.
 LEAST_SCORE = 0.3
 UNKNOWN = "und"
@@ -48,21 +51,29 @@ def features(texts: list[str]) -> np.ndarray:
     """A row of length 1 for each whole text: square roots of n-gram counts."""
     data = [b" " + t.lower().encode() + b"  " for t in texts]
     out = np.zeros((len(texts), SIZE), np.float32)
-    for s, e in chunks([len(d) for d in data], 1 << 18):
-        a = _LETTERS[np.frombuffer(b"".join(data[s:e]), np.uint8)].astype(np.uint32)
-        row = np.repeat(np.arange(e - s), [len(d) for d in data[s:e]])
-        two = a[:-2] | (a[1:-1] << np.uint32(8))
-        three = two | (a[2:] << np.uint32(16))
-        word = a[1:-1] != 32  # an n-gram's second byte is a letter
-        same = word & (row[:-2] == row[2:])
-        at = row[:-2][same] * SIZE
-        two, three = (x[same] * np.uint32(0x9E3779B1) for x in (two, three))
-        got = np.bincount(at + (two >> np.uint32(22)), minlength=(e - s) * SIZE)
-        got += np.bincount(at + PAIRS + (three >> np.uint32(20)), minlength=(e - s) * SIZE)
+    for s, e in chunks([len(d) for d in data], SLICE):
+        got = np.zeros((e - s) * SIZE)
+        whole = np.frombuffer(b"".join(data[s:e]), np.uint8)
+        rows = np.repeat(np.arange(e - s, dtype=np.int32), [len(d) for d in data[s:e]])
+        # Slices overlap by two bytes, so that an n-gram begins in one of them alone.
+        for c in range(0, max(1, len(whole) - 2), SLICE):
+            got += _counted(_LETTERS[whole[c : c + SLICE + 2]].astype(np.uint32), rows[c : c + SLICE + 2].astype(np.int64), e - s)
         out[s:e] = np.sqrt(got.reshape(e - s, SIZE))
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def _counted(a: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Hashed n-grams of bytes and their rows, for n rows."""
+    two = a[:-2] | (a[1:-1] << np.uint32(8))
+    three = two | (a[2:] << np.uint32(16))
+    word = a[1:-1] != 32  # an n-gram's second byte is a letter
+    same = word & (row[:-2] == row[2:])
+    at = row[:-2][same] * SIZE
+    two, three = (x[same] * np.uint32(0x9E3779B1) for x in (two, three))
+    got = np.bincount(at + (two >> np.uint32(22)), minlength=n * SIZE)
+    return got + np.bincount(at + PAIRS + (three >> np.uint32(20)), minlength=n * SIZE)
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights and bias (last) of a linear SVM, y in -1 and 1, by dual coordinate descent.
 
@@ -170,9 +181,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
 
 
 def with_language(spark: SparkSession, docs: DataFrame, model: Languages | None) -> DataFrame:
-    """``docs`` with lang_pred and score, from the whole text alone.
+    """``docs`` with lang_pred and score, from the whole text alone, however long.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned.
+    Ties of votes go to the larger sum of margins, then to the first name. Repeated rows get
+    the same answer each; columns of these names are replaced; an empty table gives an empty
+    result.
     """
     shared = spark.sparkContext.broadcast(model)
 

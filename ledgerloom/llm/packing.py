@@ -37,7 +37,8 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_str(data.decode())
-        self.encoder.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings like those of special tokens are ordinary text, as the vocabulary's notes have it.
+        self.encoder.encode_special_tokens = True
         self.limit, self.old = limit, {}
         self.letters, self.tails = Letters(ranks) if ranks else None, {"": b""}
 
@@ -204,8 +205,10 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> Da
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """Each piece of each document with its sequence and its offset there.
 
-    Null and empty texts are a piece of one id; repeated rows and repeated doc_ids
-    are packed each for itself; an empty table gives an empty result.
+    Null and empty texts are a piece of one id; a long text is cut into as many pieces as it
+    takes; strings like ``<|endoftext|>`` in a text are ordinary text. Repeated rows and
+    repeated doc_ids are packed each for itself; pieces of equal length are interchangeable;
+    other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(spark, "packing")
     return pack(spark, scratch.write(token_pieces(docs, file_bytes(tokenizer_path), capacity)), capacity)

@@ -1,4 +1,9 @@
-"""Token counts: Viterbi over a unigram vocabulary that carries no path, only its count."""
+"""Token counts: Viterbi over a unigram vocabulary that carries no path, only its count.
+
+The public files have no unigram model. The pieces and scores of their BPE model, whose
+scores are merge ranks, are read as one: counts are exact for that reading and by its tie
+rules, and aren't those of the BPE encoder (the README has the difference).
+"""
 
 from __future__ import annotations
 
@@ -113,7 +118,12 @@ _counters: dict[int, PieceCounter] = {}
 
 
 def token_counts(docs: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, n_tokens) of whole texts; null and empty texts have 0, each row counts."""
+    """(doc_id, n_tokens) of whole texts, however long; null and empty texts have 0.
+
+    Of segmentations of equal score the one counts that the tokenizer's rule prefers.
+    Repeated rows and shared doc_ids are counted each; other columns are ignored; an empty
+    table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = zlib.crc32(model)
 

@@ -61,3 +61,37 @@ def test_stage_keeps_columns_and_clean_documents(spark):
     assert out.columns == docs.columns
     left = {r["doc_id"] for r in out.select("doc_id").collect()}
     assert not left & {90_001, 90_002} and len(left) > 0.97 * docs.count()
+
+
+def test_votes_by_hand(spark):
+    """Predictions of whole documents against plain counting with the same weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.with_language(spark, docs, model).collect()}
+
+    def winner(machine, x):
+        votes, total = dict.fromkeys(range(len(machine.classes)), 0), dict.fromkeys(range(len(machine.classes)), 0.0)
+        for (i, j), w in zip(machine.pairs, machine.weights.T, strict=True):
+            m = float(x @ w[:-1] + w[-1])
+            votes[i] += m > 0
+            votes[j] += m < 0
+            total[i] += m
+            total[j] -= m
+        return machine.classes[max(votes, key=lambda c: (votes[c], total[c], -c))]
+
+    n = 0
+    for r in docs.select("doc_id", "text").collect():
+        if any(c.isalpha() for c in r["text"] or ""):
+            x = langid.features([r["text"]])[0]
+            assert got[r["doc_id"]] == winner(model.within[winner(model.family, x)], x)
+            n += 1
+        else:
+            assert got[r["doc_id"]] == "und"
+    assert n > 150 and len(model.family.classes) > 1
+
+
+def test_slices_of_a_long_text(monkeypatch):
+    text = "Der schnelle Fuchs springt; le renard saute 12 fois. " * 40
+    whole = langid.features([text, "x y z", text[:7]])
+    monkeypatch.setattr(langid, "SLICE", 37)
+    assert np.allclose(langid.features([text, "x y z", text[:7]]), whole, atol=1e-6)
