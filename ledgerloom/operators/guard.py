@@ -104,6 +104,29 @@ def chart_gate(df: DataFrame) -> DataFrame:
     return df.withColumns({"reason": reason, "enabled": on, "chart_type": F.when(on, F.when(F.col("intent") == "trend_analysis", F.lit("line")).otherwise(F.lit("grouped_bar")))})
 
 
+CHART_TITLE = "Trend and Comparison View"
+
+
+def chart_payload(df: DataFrame, points: DataFrame, id_: str) -> DataFrame:
+    """chart_gate's columns with what an enabled chart shows: title, unit, data (period, value),
+    insight and citations; null where it is disabled.
+
+    Reads the columns of chart_gate without n_points, question, bullets and citations;
+    ``points`` are those of period_points. The unit is the last one that a point has.
+    """
+    at = F.struct("pos", F.col("period"), F.col("value"))
+    data = F.transform(F.sort_array(F.collect_list(at)), lambda p: F.struct(p["period"].alias("period"), p["value"].alias("value")))
+    own = points.groupBy(id_).agg(data.alias("data"), F.max_by("unit", F.when(F.col("unit").isNotNull(), F.col("pos"))).alias("unit"))
+    out = chart_gate(df.join(own, id_, "left").withColumn("n_points", F.coalesce(F.size("data"), F.lit(0))))
+    on = F.col("enabled")
+    title = F.when(strip(F.coalesce("question", F.lit(""))) != "", F.left("question", F.lit(120))).otherwise(F.lit(CHART_TITLE))
+    none = F.lit(None)
+    return out.withColumns({
+        "title": F.when(on, title), "data": F.when(on, F.col("data")).otherwise(none), "unit": F.when(on, F.col("unit")),
+        "insight": F.when(on, F.get(cleaned(F.col("bullets"), 1), F.lit(0))), "shown_citations": F.when(on, F.slice(F.col("citations"), F.lit(1), F.lit(3))),
+    }).drop("n_points")
+
+
 def _one_of(c: Column, allowed: list[str], default: str) -> Column:
     v = F.lower(strip(F.coalesce(c, F.lit(default))))
     return F.when(v.isin(allowed), v).otherwise(F.lit(default))

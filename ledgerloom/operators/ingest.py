@@ -57,9 +57,15 @@ def assemble(spans: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def single_section(pages: DataFrame) -> DataFrame:
-    """Fallback: all pages of a document in order as one GENERAL section."""
-    got = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "markdown"))).alias("p"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
-    return got.select("doc_id", F.lit(0).alias("idx"), F.lit("GENERAL").alias("section_type"), F.lit("Document").alias("title"), "page_start", "page_end", F.array_join(F.transform("p", lambda x: F.coalesce(x["markdown"], F.lit(""))), "\n").alias("content"))
+    """Fallback: all pages of a document in order as one GENERAL section, with their tables and headings."""
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(F.col(c), none).alias(c) if c in pages.columns else none.alias(c) for c in ("tables", "headings")]
+    rows = pages.select("doc_id", "page", F.coalesce("markdown", F.lit("")).alias("markdown"), *lists)
+    got = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "markdown", "tables", "headings"))).alias("p"), F.min("page").alias("page_start"), F.max("page").alias("page_end"))
+    return got.select(
+        "doc_id", F.lit(0).alias("idx"), F.lit("GENERAL").alias("section_type"), F.lit("Document").alias("title"), "page_start", "page_end",
+        F.array_join(F.transform("p", lambda x: x["markdown"]), "\n").alias("content"), F.flatten(F.transform("p", lambda x: x["tables"])).alias("tables"), F.flatten(F.transform("p", lambda x: x["headings"])).alias("headings"),
+    )
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
@@ -76,6 +82,20 @@ def classify_pages(pages: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "idx", "section_type").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end")).withColumn("title", F.col("section_type"))
 
 
+def sections_of(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """Sections (doc_id, idx, section_type, title, page_start, page_end, content, tables,
+    headings) of parsed pages.
+
+    Spans that aren't exactly a document's pages, or a document without spans, as where its
+    classification failed, give one GENERAL section of all its pages.
+    """
+    listed = spans.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "page_start", "page_end"))), lambda s: F.struct(s["page_start"].alias("page_start"), s["page_end"].alias("page_end"))).alias("__spans"))
+    there = pages.groupBy("doc_id").agg(F.collect_list("page").alias("__pages")).join(listed, "doc_id", "left")
+    good = there.where(F.coalesce(covers(F.col("__spans"), F.col("__pages")), F.lit(False))).select("doc_id")
+    whole = assemble(spans.join(good, "doc_id", "left_semi"), pages)
+    return whole.unionByName(single_section(pages.join(good, "doc_id", "left_anti")))
+
+
 def section_ids(sections: DataFrame) -> DataFrame:
     return sections.withColumn("id", F.concat_ws("_", "doc_id", F.lit("sec"), "idx"))
 

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pathlib import Path
 from typing import BinaryIO
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ingest import headings, page_tables
+from ..plans.retry import ingestion_retry
 from ..schema import TESTSET
 
 
@@ -26,6 +29,28 @@ def binary_documents(spark: SparkSession, path: str, parse: Callable[[Column], C
     return raw if parse is None else raw.withColumn("pages", parse(F.col("content"))).drop("content")
 
 
+PAGE = "page int, kind string, markdown string, items array<struct<type string, value string>>"
+
+
+def parsed_pages(files: DataFrame, parser: Callable[[bytes], list[dict]], attempts: int = 3) -> DataFrame:
+    """(file_path, page, kind, markdown, headings, tables) of each page that ``parser`` makes of a file.
+
+    ``parser``, such as a client of a parsing service, is called in the executors, a file at
+    a time, and called again when it fails; it gives dictionaries with the fields of PAGE.
+    """
+    schema = f"file_path string, {PAGE}"
+    names = ["page", "kind", "markdown", "items"]
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["file_path"], batch["content"], strict=True):
+                pages = ingestion_retry(lambda c=content: parser(bytes(c)), f"parsing {path}", attempts)
+                yield pd.DataFrame([{"file_path": path, **{n: p.get(n) for n in names}} for p in pages], columns=["file_path", *names])
+
+    got = files.select("file_path", "content").mapInPandas(run, schema)
+    return got.select("file_path", "page", "kind", F.coalesce("markdown", F.lit("")).alias("markdown"), headings(F.col("items")).alias("headings"), page_tables(F.col("items")).alias("tables"))
+
+
 def dispatch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(PDF files, all others) by suffix."""
     pdf = F.lower("file_path").endswith(".pdf")

@@ -266,3 +266,30 @@ def test_runtime_states():
     assert r.get("j") == {"stage": "PARSING", "progress": 3} and r.get("k") == {}
     r.drop("j")
     assert r.get("j") == {}
+
+
+def test_charts(spark):
+    rows = [(1, "", "high", 0.9, "trend_analysis", False, " q" * 100, [" ", "first", "second"], ["a", "b", "c", "d"]), (2, "", "high", 0.9, "comparison", False, " ", None, None), (3, "x", "high", 0.9, "comparison", False, "q", [], [])]
+    df = frame(spark, rows, "id int, blocked_reason string, confidence string, citation_coverage double, intent string, needs_multi_period boolean, question string, bullets array<string>, citations array<string>")
+    texts = frame(spark, [(1, "FY2024 grew 5 million. Q1 FY2025 was 7. FY2024 again"), (2, "2023: 1; 2024: 2"), (3, "2023: 1; 2024: 2")], "id int, t string")
+    got = {r.id: r for r in guard.chart_payload(df, guard.period_points(texts, "id", "t", fixed=True), "id").collect()}
+    assert (got[1].chart_type, len(got[1].title), got[1].insight, got[1].shown_citations, got[1].unit) == ("line", 120, "first", ["a", "b", "c"], "million")
+    assert [(p.period, p.value) for p in got[1].data] == [("FY2024", 5.0), ("Q1 FY2025", 7.0)]
+    assert (got[2].title, got[2].insight, got[2].shown_citations) == (guard.CHART_TITLE, None, None) and len(got[2].data) == 2
+    assert (got[3].reason, got[3].data, got[3].title) == ("blocked_response", None, None)
+
+
+def test_parsed_files_become_sections(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one|two")
+    (tmp_path / "b.pdf").write_bytes(b"three")
+
+    def parser(content):
+        return [{"page": i + 1, "kind": "ok", "markdown": p, "items": [{"type": "heading", "value": " Head " + p}, {"type": "heading", "value": "abc"}, {"type": "table", "value": ""}, {"type": "table", "value": "|x|"}]} for i, p in enumerate(content.decode().split("|"))] + [{"page": 99, "kind": "failed"}]
+
+    pages = ingest.pages_of_type(files.parsed_pages(files.binary_documents(spark, str(tmp_path)), parser), "ok")
+    pages = pages.withColumn("doc_id", F.regexp_extract("file_path", "([ab]).pdf", 1))
+    assert sorted((r.doc_id, r.page, r.headings, r.tables) for r in pages.collect()) == [("a", 1, ["Head one"], ["|x|"]), ("a", 2, ["Head two"], ["|x|"]), ("b", 1, ["Head three"], ["|x|"])]
+    spans = frame(spark, [("a", 0, "RISK", "r", 1, 1), ("a", 1, "NOTES", "n", 2, 2), ("b", 0, "RISK", "r", 1, 3)], "doc_id string, idx int, section_type string, title string, page_start int, page_end int")
+    got = sorted((r.doc_id, r.idx, r.section_type, r.content, r.tables) for r in ingest.sections_of(pages, spans).collect())
+    assert got == [("a", 0, "RISK", "one", ["|x|"]), ("a", 1, "NOTES", "two", ["|x|"]), ("b", 0, "GENERAL", "three", ["|x|"])]
+    assert {r.section_type for r in ingest.sections_of(pages, spans.limit(0)).collect()} == {"GENERAL"}
