@@ -110,10 +110,14 @@ def _runs(texts: list[bytes], span: int, n: int):
 
 
 def _documents(group: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    """Positions of the rows with a doc_id by rising doc_id, and their texts."""
-    ids = group.column("__doc").to_numpy()
+    """Positions of the rows with a doc_id by rising doc_id and text, and their texts: in each
+    step the same order, however the rows arrive."""
+    ids, texts = group.column("__doc").to_numpy(), group.column("__bytes")
     order = np.argsort(ids, kind="stable")
-    return order, [group.column("__bytes")[int(i)].as_py() for i in order]
+    sorted_ = ids[order]
+    if len(ids) and (sorted_[1:] == sorted_[:-1]).any():
+        order = np.array(sorted(order.tolist(), key=lambda i: (ids[i], texts[i].as_py())), np.int64)
+    return order, [texts[int(i)].as_py() for i in order]
 
 
 def _blobs(batch: list, bucket: list, blob: list) -> pa.Table:

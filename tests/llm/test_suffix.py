@@ -109,3 +109,13 @@ def test_one_very_long_text(spark):
     rows = [(1, text[:300_000], "en", "s", 1), (2, text, "en", "s", 1)]
     out = {r["doc_id"]: r["n_removed"] for r in suffix.cut_repeats(spark, frame(spark, rows), ["doc_id"], batch_bytes=1 << 20).select("doc_id", "n_removed").collect()}
     assert out[1] == 0 and 300_000 <= out[2] < 310_000
+
+
+def test_order_of_rows_that_share_a_doc_id():
+    import pyarrow as pa
+
+    rows = [(3, b"c"), (1, b"b"), (3, b"a"), (1, b"b"), (2, b"z")]
+    for k in range(5):
+        turned = rows[k:] + rows[:k]
+        group = pa.table({"__doc": [i for i, _ in turned], "__bytes": [b for _, b in turned]})
+        assert suffix._documents(group)[1] == [b"b", b"b", b"z", b"a", b"c"]
