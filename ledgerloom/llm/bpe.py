@@ -124,17 +124,14 @@ def _rank(slots: Column, a: Column, b: Column) -> Column:
     return F.coalesce(found(F.get(slots, (key * _A % _P % PLACES).cast("int"))), found(F.get(slots, (key * _B % _Q % PLACES).cast("int"))), F.lit(NEVER))
 
 
-def _fold(start: Column, slots: Column) -> Column:
-    """Ids after all merges of ``start``, ids of bytes between two that pair with nothing.
+def _fold(start: Column, ranks: Column, slots: Column) -> Column:
+    """Ids after all merges of ``start``, ids of bytes between two that pair with nothing,
+    whose pairs have ``ranks``.
 
     One merge a step, ranks kept beside the ids; only the two ranks beside a merge are
     looked up anew. A word of n bytes takes n - 1 steps, each a pass over what is left.
     """
 
-    def ranked(ids: Column) -> Column:
-        ranks = F.transform(F.slice(ids, F.lit(2), F.size(ids)), lambda b, i: _rank(slots, F.get(ids, i), b))
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
-
     def step(acc: Column, _: Column) -> Column:
         ids, ranks = acc["ids"], acc["ranks"]
 
@@ -152,7 +149,7 @@ def _fold(start: Column, slots: Column) -> Column:
     def all_steps(begun: Column) -> Column:
         return F.aggregate(F.slice(begun["ids"], F.lit(4), F.size(begun["ids"])), begun, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
 
-    return let(let(start, ranked), all_steps)
+    return let(F.struct(start.alias("ids"), ranks.alias("ranks")), all_steps)
 
 
 #: Pairs with nothing: its keys are at no place or are those of the last id, which no token has.
@@ -263,7 +260,25 @@ def _pack(shared, names: list[int], pattern: str, most_bytes: int, most_words: i
     return run
 
 
-STREAM = "batch long, bucket int, blob binary, start array<int>, done array<int>"
+STREAM = "batch long, bucket int, blob binary, start array<int>, ranks array<int>, done array<int>"
+
+
+class Pairs:
+    """Ranks of many pairs of ids at once, and of one."""
+
+    def __init__(self, pairs: dict[int, int]):
+        self.one = pairs
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+
+    def __call__(self, a: int, b: int) -> int:
+        return self.one.get(a << 17 | b, NEVER)
+
+    def beside(self, ids: np.ndarray) -> np.ndarray:
+        """The rank of each id and the one after it; EDGE pairs with nothing."""
+        key = (ids[:-1].astype(np.int64) << 17) | ids[1:]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (ids[:-1] >= 0) & (ids[1:] >= 0), self.ranks[at], NEVER).astype(np.int32)
 
 
 def _distinct(byte_ids: list[int], pairs):
@@ -272,24 +287,39 @@ def _distinct(byte_ids: list[int], pairs):
     table_ = np.array(byte_ids, np.int32)
 
     def run(group: pa.Table) -> pa.Table:
-        none = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("start", pa.list_(pa.int32())), ("done", pa.list_(pa.int32()))])
+        ints = pa.list_(pa.int32())
+        schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("start", ints), ("ranks", ints), ("done", ints)])
         if group.column("slot")[0].as_py():
-            return none.empty_table()
-        look, place, sent = (lambda a, b: pairs.value.get(a << 17 | b, NEVER)), _Places(), []
+            return schema.empty_table()
+        place, sent = _Places(), []
         for blob in group.column("blob"):
             lengths, body = _unpress(blob.as_py())
             at = _spans(np.frombuffer(lengths, "<u4")).tolist()
             sent.append(np.fromiter((place[body[a:z]] for a, z in zip(at, at[1:], strict=False)), "<u4", len(at) - 1).tobytes())
-        start, done = [], []
-        for w in place:
-            ids = table_[np.frombuffer(w, np.uint8)].tolist()
-            start.append([EDGE, *ids, EDGE] if len(w) <= LONG else None)
-            done.append(None if len(w) <= LONG else merge_long(ids, look))
-        n, m = len(start), len(sent)
-        return pa.table({
-            "batch": pa.array([None] * n + group.column("batch").to_pylist(), pa.int64()), "bucket": pa.array([None] * n + group.column("bucket").to_pylist(), pa.int32()),
-            "blob": pa.array([None] * n + sent, pa.binary()), "start": pa.array(start + [None] * m, pa.list_(pa.int32())), "done": pa.array(done + [None] * m, pa.list_(pa.int32())),
-        })
+        words = list(place)
+        short = np.array([len(w) <= LONG for w in words], bool)
+        # Ids of the bytes of short words, each word between two edges, and the ranks of their pairs.
+        sizes = np.array([len(w) + 2 for w, ok in zip(words, short, strict=True) if ok], np.int64)
+        ends = _spans(sizes)
+        flat = np.full(ends[-1], EDGE, np.int32)
+        inner = np.ones(len(flat), bool)
+        inner[ends[:-1]] = inner[ends[1:] - 1] = False
+        flat[inner] = table_[np.frombuffer(b"".join(w for w, ok in zip(words, short, strict=True) if ok), np.uint8)]
+        beside = pairs.value.beside(flat)
+        last = np.ones(len(beside), bool)
+        last[ends[1:-1] - 1] = False  # the last id of a word and the first of the next are no pair
+        n, m = len(words), len(sent)
+        nulls = np.concatenate([~short, np.ones(m, bool)])
+
+        def lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
+            each = np.zeros(n + m, np.int64)
+            each[np.flatnonzero(~nulls)] = size
+            return pa.ListArray.from_arrays(pa.array(_spans(each).astype(np.int32), mask=np.concatenate([nulls, [False]])), pa.array(values, pa.int32()))
+
+        done = [None if ok else merge_long(table_[np.frombuffer(w, np.uint8)].tolist(), pairs.value) for w, ok in zip(words, short, strict=True)]
+        columns = [pa.array([None] * n + group.column(c).to_pylist(), k) for c, k in (("batch", pa.int64()), ("bucket", pa.int32()))]
+        columns += [pa.array([None] * n + sent, pa.binary()), lists(flat, sizes), lists(beside[last], sizes - 1), pa.array(done + [None] * m, ints)]
+        return pa.Table.from_arrays(columns, schema=schema)
 
     return run
 
@@ -382,9 +412,9 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
     rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner, strict=True)))
     context = spark.sparkContext
     packed = rows.mapInArrow(_pack(context.broadcast(ranks), names, pattern, batch_bytes, frequent), PACKED).repartition(n, "target")
-    words = packed.groupBy("target", "slot").applyInArrow(_distinct(vocabulary.byte_ids, context.broadcast(vocabulary.pairs)), STREAM)
+    words = packed.groupBy("target", "slot").applyInArrow(_distinct(vocabulary.byte_ids, context.broadcast(Pairs(vocabulary.pairs))), STREAM)
     slots = vocabulary.frame(spark)
-    folded = let(F.col("__bound"), lambda t: F.coalesce("done", F.when(F.col("start").isNotNull(), _fold(F.col("start"), t))))
+    folded = let(F.col("__bound"), lambda t: F.coalesce("done", F.when(F.col("start").isNotNull(), _fold(F.col("start"), F.col("ranks"), t))))
     replies = bound(words, slots).select("batch", "bucket", "blob", folded.alias("ids")).mapInArrow(_replies(names), "target int, slot long, bucket int, blob binary").repartition(n, "target")
     schema = ", ".join([*(f"`{i}` {k}" for i, k in zip(inner, kinds, strict=True)), "__ids array<int>"])
     out = packed.groupBy("target", "slot").cogroup(replies.groupBy("target", "slot")).applyInArrow(_whole(_unpack(inner), schema, inner, rows), schema)
