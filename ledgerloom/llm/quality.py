@@ -17,9 +17,9 @@ FLOORS = {"size": 0.35, "word_length": 0.10, "symbols": 0.05, "dup_lines": 0.10,
 DIMS = list(FLOORS)
 #: Share of a group's rows that the determinant is made small over.
 SHARE = 0.75
-#: Concentration steps run until no group's determinant falls by more than SETTLED (of its
-#: logarithm), which takes a handful; MOST_STEPS only bounds estimates that swing between bins.
-SETTLED, MOST_STEPS = 1e-4, 30
+#: Concentration steps run until no group's least determinant so far falls by more than this
+#: share, which takes a handful. Estimates that swing between two bins fall no further.
+SETTLED = 1e-3
 #: Rows that the estimate of a group (language, source) needs, ten for each dimension; a
 #: smaller group joins its language's, then all small ones together.
 LEAST_ROWS = 10 * len(FLOORS)
@@ -220,19 +220,18 @@ def minimum_determinant(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """
     p = len(DIMS)
     starts = _medians(scratch, rows).withColumn("start", F.lit(0)).unionByName(_estimate(rows, ["grp"], 1.0).withColumn("start", F.lit(1)))
-    now = scratch.write(starts)
+    now = scratch.write(starts.withColumn("least", F.lit(float("inf"))))
     factor = consistency(SHARE, p)
     keys = ["grp", "start"]
-    for _ in range(MOST_STEPS):
+    fell = None
+    while fell is None or fell > SETTLED:
         far = rows.join(now, "grp").withColumn("bin", _bins(F.log(_distance() + 1e-6)))
-        cut = scratch.write(_quantile(far, keys, F.col("bin"), SHARE).withColumnRenamed("bin", "most"))
-        following = scratch.write(_estimate(far.join(cut, keys).where("bin <= most"), keys, factor))
-        fell = following.join(now.select(*keys, F.col("logdet").alias("before")), keys).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
-        scratch.drop(cut)
+        cut = _quantile(far, keys, F.col("bin"), SHARE).withColumnRenamed("bin", "most")
+        better = _estimate(far.join(cut, keys).where("bin <= most"), keys, factor).join(now.select(*keys, "least"), keys)
+        following = scratch.write(better.withColumns({"fell": F.col("least") - F.col("logdet"), "least": F.least("least", "logdet")}))
+        fell = following.agg(F.coalesce(F.max("fell"), F.lit(0.0))).first()[0]
         scratch.drop(now)
         now = following
-        if fell is None or fell <= SETTLED:
-            break
     best = now.groupBy("grp").agg(F.min_by(F.struct("start", *_ESTIMATE), F.struct("logdet", "start")).alias("e")).select("grp", *(f"e.{c}" for c in _ESTIMATE))
     best = scratch.write(best)
     inner = rows.join(best, "grp").where(_distance() <= chi2_quantile(0.975, p)).select("grp", *DIMS)
