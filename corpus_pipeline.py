@@ -28,7 +28,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written and read again by the next."""
+    """The stages applied to documents, each written and read again by the next.
+
+    The five columns of documents are read, so other columns never clash. Null and empty
+    texts go with the first stage, as they have no language; texts are worked on whole,
+    however long; rows that share a doc_id are documents of their own unless their texts
+    are near copies; an empty table gives an empty result.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in STAGES[:-1]:
