@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, even_keys, file_bytes, let, parallelism, table
 
 #: Bytes of text, and different words, after which a batch ends.
-BATCH, FREQUENT = 16 << 20, 1 << 20
+BATCH, FREQUENT = 8 << 20, 1 << 20
 #: Words of more bytes are folded with a heap, in n log n: a fold by higher-order functions
 #: passes over what is left of the word at every merge. The ids are the same.
 LONG = 48
@@ -188,8 +188,9 @@ def _gathered(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndar
     return pool[np.repeat(start - at[:-1], count) + np.arange(at[-1])]
 
 
-def _home(batch: int, names: list[int]) -> int:
-    return names[xxhash.xxh64_intdigest(batch.to_bytes(8, "little")) % len(names)]
+def _home(batch: int) -> int:
+    """The key of a batch's texts; keys of buckets aren't negative."""
+    return -1 - batch
 
 
 class _Places(dict):
@@ -200,12 +201,12 @@ class _Places(dict):
         return place
 
 
-PACKED = "target int, slot long, batch long, bucket int, blob binary"
+PACKED = "key long, batch long, bucket int, blob binary"
 
 
 def _pack(shared, names: list[int], pattern: str, most_bytes: int, most_words: int):
-    """Step 1. Slot 0 holds words of a bucket; slot batch + 1 the batch's texts as places, the
-    buckets of its words, the ids of words that are tokens, and the columns kept."""
+    """Step 1. A bucket's key has words; a home's has the batch's texts as places, the buckets
+    of its words, the ids of words that are tokens, and the columns kept."""
 
     def closed(batch: int, places: _Places, codes: list, rows: list) -> pa.RecordBatch:
         ranks = shared.value
@@ -219,7 +220,7 @@ def _pack(shared, names: list[int], pattern: str, most_bytes: int, most_words: i
         for k in np.unique(sorted_[sorted_ != 0xFFFF]).tolist():
             a, z = np.searchsorted(sorted_, [k, k + 1])
             mine = [words[i] for i in order[a:z].tolist()]
-            out.append((names[k], 0, batch, k, _press(np.array([len(w) for w in mine], "<u4"), b"".join(mine))))
+            out.append((names[k], batch, k, _press(np.array([len(w) for w in mine], "<u4"), b"".join(mine))))
         own = np.array(own, np.int64)
         kept = pa.Table.from_batches(rows).combine_chunks()
         sink = pa.BufferOutputStream()
@@ -229,10 +230,10 @@ def _pack(shared, names: list[int], pattern: str, most_bytes: int, most_words: i
         flat = np.concatenate(codes) if codes else np.empty(0, "<u4")
         # Low and high halves apart: the high ones are mostly zero.
         blob = _press(bucket, own[own >= 0].astype("<u4"), lengths, flat.astype("<u2"), (flat >> 16).astype("<u2"), sink.getvalue().to_pybytes())
-        out.append((_home(batch, names), batch + 1, batch, -1, blob))
+        out.append((_home(batch), batch, -1, blob))
         columns = list(zip(*out, strict=True))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["target", "slot", "batch", "bucket", "blob"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "batch", "bucket", "blob"])
 
     def run(batches):
         find = regex.compile(pattern).findall
@@ -289,7 +290,7 @@ def _distinct(byte_ids: list[int], pairs):
     def run(group: pa.Table) -> pa.Table:
         ints = pa.list_(pa.int32())
         schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("start", ints), ("ranks", ints), ("done", ints)])
-        if group.column("slot")[0].as_py():
+        if group.column("key")[0].as_py() < 0:
             return schema.empty_table()
         place, sent = _Places(), []
         for blob in group.column("blob"):
@@ -324,44 +325,40 @@ def _distinct(byte_ids: list[int], pairs):
     return run
 
 
-def _replies(names: list[int]):
+def _replies(batches):
     """Step 2, after it: to each batch the numbers of ids of its words, and the ids."""
-
-    def run(batches):
-        count, pool, start, closed = [], [], None, False
-        for b in batches:
-            is_word = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.diff(is_word.astype(np.int8))) + 1
-            for a, z in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
-                if a == z:
-                    continue
-                part = b.slice(a, z - a)
-                if is_word[a]:
-                    if closed:
-                        count, pool, closed = [], [], False
-                    ids = part.column(3)
-                    count.append(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
-                    pool.append(ids.flatten().to_numpy().astype("<u4"))
-                    continue
-                if not closed:
-                    count, pool, closed = np.concatenate(count), np.concatenate(pool), True
-                    start = _spans(count)[:-1]
-                out = []
-                for batch, bucket, blob in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    at = np.frombuffer(blob, "<u4")
-                    out.append((_home(batch, names), batch + 1, bucket, _press(count[at].astype("<u4"), _gathered(pool, start[at], count[at]))))
-                columns = list(zip(*out, strict=True))
-                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["target", "slot", "bucket", "blob"])
-
-    return run
+    count, pool, start, closed = [], [], None, False
+    for b in batches:
+        is_word = b.column(0).is_null().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.diff(is_word.astype(np.int8))) + 1
+        for a, z in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows], strict=True):
+            if a == z:
+                continue
+            part = b.slice(a, z - a)
+            if is_word[a]:
+                if closed:
+                    count, pool, closed = [], [], False
+                ids = part.column(3)
+                count.append(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
+                pool.append(ids.flatten().to_numpy().astype("<u4"))
+                continue
+            if not closed:
+                count, pool, closed = np.concatenate(count), np.concatenate(pool), True
+                start = _spans(count)[:-1]
+            out = []
+            for batch, bucket, blob in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                at = np.frombuffer(blob, "<u4")
+                out.append((_home(batch), bucket, _press(count[at].astype("<u4"), _gathered(pool, start[at], count[at]))))
+            columns = list(zip(*out, strict=True))
+            kinds = (pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "bucket", "blob"])
 
 
 def _unpack(columns: list[str]):
     """Step 3. The kept columns of a batch, and ids."""
 
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
-        if not group.num_rows or not group.column("slot")[0].as_py():
+        if not group.num_rows or group.column("key")[0].as_py() >= 0:
             return None
         bucket, own, lengths, low, high, kept = _unpress(group.column("blob")[0].as_py())
         bucket, own, lengths = np.frombuffer(bucket, "<u2"), np.frombuffer(own, "<u4"), np.frombuffer(lengths, "<u4")
@@ -403,7 +400,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
     way to it; an empty table gives an empty result.
     """
     vocabulary, n = Vocabulary(ranks), parallelism(spark)
-    names = even_keys(spark, n)
+    names = even_keys(spark, n, kind="bigint")
     if len(names) >= 0xFFFF:
         names = names[:0xFFFE]
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "ids"]
@@ -411,13 +408,13 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], patter
     kinds = [docs.select(f"`{c}`").schema[0].dataType.simpleString() for c in keep]
     rows = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias(i) for c, i in zip(keep, inner, strict=True)))
     context = spark.sparkContext
-    packed = rows.mapInArrow(_pack(context.broadcast(ranks), names, pattern, batch_bytes, frequent), PACKED).repartition(n, "target")
-    words = packed.groupBy("target", "slot").applyInArrow(_distinct(vocabulary.byte_ids, context.broadcast(Pairs(vocabulary.pairs))), STREAM)
+    packed = rows.mapInArrow(_pack(context.broadcast(ranks), names, pattern, batch_bytes, frequent), PACKED).repartition(n, "key")
+    words = packed.groupBy("key").applyInArrow(_distinct(vocabulary.byte_ids, context.broadcast(Pairs(vocabulary.pairs))), STREAM)
     slots = vocabulary.frame(spark)
     folded = let(F.col("__bound"), lambda t: F.coalesce("done", F.when(F.col("start").isNotNull(), _fold(F.col("start"), F.col("ranks"), t))))
-    replies = bound(words, slots).select("batch", "bucket", "blob", folded.alias("ids")).mapInArrow(_replies(names), "target int, slot long, bucket int, blob binary").repartition(n, "target")
+    replies = bound(words, slots).select("batch", "bucket", "blob", folded.alias("ids")).mapInArrow(_replies, "key long, bucket int, blob binary").repartition(n, "key")
     schema = ", ".join([*(f"`{i}` {k}" for i, k in zip(inner, kinds, strict=True)), "__ids array<int>"])
-    out = packed.groupBy("target", "slot").cogroup(replies.groupBy("target", "slot")).applyInArrow(_whole(_unpack(inner), schema, inner, rows), schema)
+    out = packed.groupBy("key").cogroup(replies.groupBy("key")).applyInArrow(_whole(_unpack(inner), schema, inner, rows), schema)
     return out.select(*(F.col(i).alias(c) for i, c in zip(inner, keep, strict=True)), F.col("__ids").alias("ids"))
 
 

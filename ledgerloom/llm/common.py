@@ -82,12 +82,13 @@ class Scratch:
         self._delete(self.root)
 
 
-def even_keys(spark: SparkSession, n: int, each: int = 1) -> list[int]:
-    """n * each integers of which hash partitioning into n sends ``each`` to every partition."""
+def even_keys(spark: SparkSession, n: int, each: int = 1, kind: str = "int") -> list[int]:
+    """n * each integers of which hash partitioning into n, by a column of type ``kind``, sends
+    ``each`` to every partition."""
     found: dict[int, list[int]] = {}
     start, step = 0, (16 + 2 * each) * n + 64
     while len(found) < n or min(map(len, found.values())) < each:
-        rows = spark.range(start, start + step, 1, 1).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p")).collect()
+        rows = spark.range(start, start + step, 1, 1).select(F.col("id").cast(kind).alias("k")).select("k", F.pmod(F.hash("k"), F.lit(n)).alias("p")).collect()
         for r in rows:
             found.setdefault(r["p"], []).append(r["k"])
         start += step
