@@ -226,10 +226,12 @@ def minimum_determinant(scratch: Scratch, rows: DataFrame) -> DataFrame:
     fell = None
     while fell is None or fell > SETTLED:
         far = rows.join(now, "grp").withColumn("bin", _bins(F.log(_distance() + 1e-6)))
-        cut = _quantile(far, keys, F.col("bin"), SHARE).withColumnRenamed("bin", "most")
+        # Written, its size is known: a small one is sent to the rows, and no row is dealt out by its group.
+        cut = scratch.write(_quantile(far, keys, F.col("bin"), SHARE).withColumnRenamed("bin", "most"))
         better = _estimate(far.join(cut, keys).where("bin <= most"), keys, factor).join(now.select(*keys, "least"), keys)
         following = scratch.write(better.withColumns({"fell": F.col("least") - F.col("logdet"), "least": F.least("least", "logdet")}))
         fell = following.agg(F.coalesce(F.max("fell"), F.lit(0.0))).first()[0]
+        scratch.drop(cut)
         scratch.drop(now)
         now = following
     best = now.groupBy("grp").agg(F.min_by(F.struct("start", *_ESTIMATE), F.struct("logdet", "start")).alias("e")).select("grp", *(f"e.{c}" for c in _ESTIMATE))
