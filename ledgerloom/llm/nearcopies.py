@@ -1,7 +1,9 @@
-"""Near copies by Jaccard similarity: MinHash candidates, exact verification, components."""
+"""Near copies by Jaccard similarity: SimHash tries propose, exact comparisons decide, components follow."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,13 +12,23 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import connected_components, forest
+from .trie import trie_pairs
 
 WIDTH = 5
 #: Least Jaccard similarity of two texts' sets of shingles.
 LEAST = 0.8
-#: Texts are candidates if they agree on all minima of a band; a pair at LEAST is missed
-#: by all bands with probability (1 - 0.8 ** 5) ** 24 = 7e-5.
-BANDS, ROWS = 24, 5
+#: A fingerprint has WORDS times 64 bits. At LEAST a bit differs with probability 0.1515, as
+#: the angle of the sets has it; DIFFER covers small sets but those of four and five shingles (0.19).
+WORDS, DIFFER = 8, 0.16
+#: Candidates agree on the bits of some table's key and differ in at most BUDGET bits of the
+#: first TRIE words: four deviations over such a pair's mean, five under that of other texts.
+TRIE, BUDGET = 2, 36
+#: Texts that agree on a key by chance, and the least share of pairs at DIFFER that some key finds.
+BUCKET, RECALL = 32, 0.99
+#: Sets of fewer shingles are similar only if they are equal.
+LEAST_SHINGLES = 4
+#: A key with more fingerprints is dealt out as pairs of chunks; tries hold about RUN at a time.
+KEY_CHUNK, RUN = 20_000, 1 << 17
 #: A group of candidates with more rows or bytes of text is dealt out as pairs of chunks.
 CHUNK, CHUNK_BYTES = 2000, 16 << 20
 SEED = 20_117
@@ -39,21 +51,41 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(h)
 
 
-def bands(h: np.ndarray) -> list[int]:
-    """A key for each band, of the minima of its permutations; none without shingles."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """The bits (0 or 1) of WORDS hashes of each shingle."""
+    x = (h[:, None] ^ np.random.default_rng(SEED).integers(0, 1 << 64, WORDS, dtype=np.uint64)) * _PRIME
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+
+
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """The SimHash, WORDS words, of a sorted set of shingles. Ties are broken by the 64 least
+    shingles, with weights of their own at each bit, so that unlike small sets don't share them."""
     if not len(h):
-        return []
-    a, b = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
-    a |= np.uint64(1)
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
-    for s in range(0, len(h), 1024):
-        low = np.minimum(low, (h[s : s + 1024, None] * a + b).min(0))
-    return [xxhash.xxh64_intdigest(x.tobytes(), t) for t, x in enumerate(low.reshape(BANDS, ROWS))]
+        return np.zeros(WORDS, np.uint64)
+    ones = np.zeros(64 * WORDS, np.int64)
+    for s in range(0, len(h), 255):  # sums of 255 bits fit in a byte
+        ones += _mixed(h[s : s + 255]).sum(0, dtype=np.uint8)
+    on = 2 * ones > len(h)
+    ties = np.flatnonzero(2 * ones == len(h))
+    if len(ties):
+        odd = np.random.default_rng(SEED).integers(0, 1 << 64, 64 * WORDS, dtype=np.uint64)[ties] | np.uint64(1)
+        weights = (h[:64, None] * odd >> np.uint64(40)).astype(float)
+        on[ties] = (weights * (2.0 * _mixed(h[:64])[:, ties] - 1)).sum(0) > 0
+    return np.packbits(on, bitorder="little").view(np.uint64)
+
+
+def tables_for(texts: int) -> tuple[int, int]:
+    """(bits of a key, tables) for a number of different texts."""
+    bits = max(0, math.ceil(math.log2(max(1, texts) / BUCKET)))
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** bits)) if bits else 1
 
 
 def _signatures(batches):
     for batch in batches:
-        first, second, size, keys = [], [], [], []
+        first, second, size, count, prints = [], [], [], [], []
         for t in batch.column(2):
             text = t.as_py()
             h = shingles(text)
@@ -61,9 +93,88 @@ def _signatures(batches):
             first.append(both >> 64)
             second.append(both & ((1 << 64) - 1))
             size.append(len(text or ""))
-            keys.append(np.array(bands(h), np.uint64).view(np.int64))
+            count.append(len(h))
+            prints.append(fingerprint(h).view(np.int64))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "h1", "h2", "size", "bands"])
+        rest = [pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, *rest], names=["doc_id", "mark", "h1", "h2", "size", "count", "print"])
+
+
+_FILED = [f"w{k}" for k in range(TRIE)]
+
+
+def _filed(bits: int, tables: int):
+    """A row for each table: a key of ``bits`` chosen bits, the node, the words of the trie."""
+
+    def run(batches):
+        rng = np.random.default_rng([SEED, bits, tables])
+        masks = np.zeros((tables, WORDS), np.uint64)
+        for mask in masks:
+            for bit in rng.choice(64 * WORDS, bits, replace=False).tolist():
+                mask[bit // 64] |= np.uint64(1 << bit % 64)
+        odd = rng.integers(0, 1 << 64, (tables, WORDS), dtype=np.uint64) | np.uint64(1)
+        for batch in batches:
+            words = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+            shared = [batch.column(0), *(pa.array(words[:, k].view(np.int64)) for k in range(TRIE))]
+            for t in range(tables):
+                key = ((words & masks[t]) * odd[t]).sum(1, dtype=np.uint64) + odd[t, 0] * np.uint64(t)
+                key = (key ^ (key >> np.uint64(31))) * _PRIME
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *shared], names=["key", "node", *_FILED])
+
+    return run
+
+
+def _joined(key: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    """Edges that connect the nodes of equal keys within BUDGET."""
+    order = np.lexsort((*words.T[::-1], key))
+    key, node, words = key[order], node[order], words[order]
+    a, b, held = [], [], 0
+    for i, j in trie_pairs(key, words, BUDGET, 1 << 18):
+        a.append(node[i])
+        b.append(node[j])
+        held += len(i)
+        if held > 2_000_000:
+            x, y = forest(np.concatenate(a), np.concatenate(b))
+            a, b, held = [x], [y], len(x)
+    none = [np.empty(0, np.int64)]
+    x, y = forest(np.concatenate(a or none), np.concatenate(b or none))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+
+def _joins(batches):
+    """Tries of rows sorted by key, about RUN rows at a time and a key never parted."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node, *words = (batch.column(c).to_numpy() for c in range(2 + TRIE))
+        held.append((key, node, np.stack(words, 1).view(np.uint64)))
+        rows += len(key)
+        if rows >= RUN and held[-1][0][-1] != held[0][0][0]:
+            key, node, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = np.flatnonzero(key != key[-1])[-1] + 1
+            yield _joined(key[:cut], node[:cut], words[:cut])
+            held, rows = [(key[cut:], node[cut:], words[cut:])], rows - cut
+    if held:
+        yield _joined(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def candidates(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes of ``classes`` (node, print) which agree on a key
+    and differ in at most BUDGET bits, by self-joins of binary tries.
+
+    The number of tables grows with that of the texts, so that a key has BUCKET of them by
+    chance. A key with over KEY_CHUNK fingerprints is split into chunks, and every pair of
+    chunks is joined by a task of its own.
+    """
+    bits, tables = tables_for(classes.count())
+    rows = classes.select("node", "print").mapInArrow(_filed(bits, tables), ", ".join(f"{c} long" for c in ["key", "node", *_FILED]))
+    # Written, its size is known: a small one is sent to the rows, which are then dealt out once.
+    large = scratch.write(rows.groupBy("key").count().where(F.col("count") > KEY_CHUNK).select("key", F.ceil(F.col("count") / KEY_CHUNK).cast("int").alias("parts")))
+    rows = rows.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", *_FILED)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_joins, "a long, b long")
 
 
 def similar(sets: list[np.ndarray], home: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -128,14 +239,12 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "nearcopies")
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark(text).alias("mark"), text.alias("text"))
-    prints = scratch.write(texts.mapInArrow(_signatures, "doc_id long, mark long, h1 long, h2 long, size long, bands array<long>"))
+    prints = scratch.write(texts.mapInArrow(_signatures, "doc_id long, mark long, h1 long, h2 long, size long, count long, print array<long>"))
     # Texts of equal sets are one class, which its first row stands for. Its node is a number of its own.
     low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("low")
-    classes = prints.groupBy("h1", "h2").agg(low, F.max("size").alias("size"), F.first("bands").alias("bands"))
+    classes = prints.groupBy("h1", "h2").agg(low, F.max("size").alias("size"), F.first("count").alias("count"), F.first("print").alias("print"))
     classes = scratch.write(classes.where("low is not null").withColumn("node", F.monotonically_increasing_id()))
-    spread = classes.select("node", F.explode("bands").alias("key"))
-    least = spread.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = connected_components(spread.join(least, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), scratch)
+    groups = connected_components(candidates(scratch, classes.where(F.col("count") >= LEAST_SHINGLES)), scratch)
     members = scratch.write(groups.select("node", "component").unionByName(groups.select(F.col("component").alias("node"), "component").distinct()))
     named = members.join(classes.select("node", "low", "size"), "node")
     large = named.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).cast("int").alias("parts"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, chunks, table
 from .components import connected_components, forest
 from .nearcopies import mark, near_copies
+from .trie import trie_pairs
 
 #: h of a shingle is its XXH64 with this seed.
 SEED = 42
@@ -52,60 +53,6 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-def trie_pairs(keys: np.ndarray, values: np.ndarray, bits: int, block: int = 1 << 20):
-    """Index pairs (i, j) of equal keys that connect all values within ``bits``.
-
-    ``keys`` and ``values`` (uint64) must be sorted together. Each key's values are
-    a binary trie, whose nodes are ranges of the sorted array. Pairs of nodes are
-    traversed together from the root, with their differing bits so far; a pair over
-    budget is pruned, and so is one whose values are already connected through
-    neighbours in the sorted order.
-    """
-    n = len(values)
-    if n < 2:
-        return
-    near = (keys[1:] == keys[:-1]) & (_popcount(values[1:] ^ values[:-1]) <= bits)
-    at = np.flatnonzero(near)
-    yield at, at + 1
-    chain = np.concatenate([[0], np.cumsum(~near)])
-    ones = {}
-
-    def split(lo, hi, bit):
-        if bit not in ones:
-            ones[bit] = np.concatenate([[0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-        return hi - (ones[bit][hi] - ones[bit][lo])
-
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    last = np.concatenate([first[1:], [n]])
-    zero = np.zeros(len(first), np.int64)
-    stack = [(63, first, last, first, last, zero)]
-    while stack:
-        bit, al, ah, bl, bh, d = stack.pop()
-        # A pair whose values all lie in one chain adds nothing; single nodes end here.
-        live = (ah > al) & (bh > bl) & (d <= bits) & (chain[np.minimum(al, n - 1)] != chain[np.maximum(bh - 1, 0)])
-        al, ah, bl, bh, d = (x[live] for x in (al, ah, bl, bh, d))
-        leaf = (ah - al == 1) & (bh - bl == 1)
-        if leaf.any():
-            i, j = al[leaf], bl[leaf]
-            ok = (i != j) & (_popcount(values[i] ^ values[j]) <= bits)
-            if ok.any():
-                yield i[ok], j[ok]
-            al, ah, bl, bh, d = (x[~leaf] for x in (al, ah, bl, bh, d))
-        if not len(al):
-            continue
-        if len(al) > block:
-            for s in range(0, len(al), block):
-                stack.append((bit, *(x[s : s + block] for x in (al, ah, bl, bh, d))))
-            continue
-        am, bm = split(al, ah, bit), split(bl, bh, bit)
-        cross = al != bl  # not a node with itself, for which one mixed pair is enough
-        stack.append((bit - 1, *(np.concatenate(x) for x in ((al, am, al, am[cross]), (am, ah, am, ah[cross]), (bl, bm, bm, bl[cross]), (bm, bh, bh, bm[cross]), (d, d, d + 1, d[cross] + 1)))))
-
-
 def _links(bits: int):
     def run(batches):
         got = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
@@ -182,7 +129,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies one document stays, that of smallest doc_id.
 
-    Near copies are texts of five-word Jaccard similarity 0.8 or more and what they reach.
+    Near copies are texts of five-word Jaccard similarity 0.8 or more and what they reach;
+    SimHash fingerprints and tries propose them (``near_copies``).
     Different texts under one doc_id are documents of their own: if they are near copies and
     the smallest, the one of smallest text hash stays. Of rows with equal doc_id and text the
     one stays whose other columns have the smallest hash. Rows with a null doc_id stay.
