@@ -113,11 +113,12 @@ def _filed(bits: int, tables: int):
             for bit in rng.choice(64 * WORDS, bits, replace=False).tolist():
                 mask[bit // 64] |= np.uint64(1 << bit % 64)
         odd = rng.integers(0, 1 << 64, (tables, WORDS), dtype=np.uint64) | np.uint64(1)
+        salt = rng.integers(0, 1 << 64, tables, dtype=np.uint64)
         for batch in batches:
             words = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
             shared = [batch.column(0), *(pa.array(words[:, k].view(np.int64)) for k in range(TRIE))]
             for t in range(tables):
-                key = ((words & masks[t]) * odd[t]).sum(1, dtype=np.uint64) + odd[t, 0] * np.uint64(t)
+                key = ((words & masks[t]) * odd[t]).sum(1, dtype=np.uint64) ^ salt[t]
                 key = (key ^ (key >> np.uint64(31))) * _PRIME
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *shared], names=["key", "node", *_FILED])
 

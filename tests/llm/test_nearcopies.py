@@ -81,3 +81,44 @@ def test_texts_that_share_a_doc_id(spark):
     assert simhash.keep_one(spark, frame(spark, rows), "").where("doc_id is null").count() == 2
     wide = frame(spark, rows).selectExpr("*", "1 as `__id`", "map(1, 2) as m", "'x' as node", "2 as mark")
     assert simhash.keep_one(spark, wide, "").columns == wide.columns
+
+
+def test_many_tables_and_split_keys(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(0, 600, 2):
+        w = sentence(rng, rng.randrange(30, 300)).split()
+        n = len(w) - 4
+        # The longest tail that leaves a similarity of 0.8 or more, or one word more.
+        tail = [f"tail{k}" for k in range(n // 4 + rng.randrange(2))]
+        rows += [(i, " ".join(w), "en", "s", 1), (i + 1, " ".join(w + tail), "en", "s", 1)]
+    want = firsts(rows)
+    assert 300 < len(want) < 600
+    monkeypatch.setattr(nearcopies, "BUCKET", 2)
+    bits, tables = nearcopies.tables_for(600)
+    assert bits == 9 and tables > 10
+    got = kept(spark, rows)
+    assert want <= got  # a pair that no table finds leaves a document more
+    assert len(got - want) <= 0.02 * (600 - len(want))
+    monkeypatch.setattr(nearcopies, "KEY_CHUNK", 3)
+    assert kept(spark, rows) == got
+
+
+def test_tables_grow_with_texts_and_keep_recall():
+    assert nearcopies.tables_for(0) == nearcopies.tables_for(nearcopies.BUCKET) == (0, 1)
+    for n in (1000, 10**6, 10**9):
+        bits, tables = nearcopies.tables_for(n)
+        assert n / 2**bits <= nearcopies.BUCKET
+        assert 1 - (1 - (1 - nearcopies.DIFFER) ** bits) ** tables >= nearcopies.RECALL
+
+
+def test_fingerprints_at_the_threshold():
+    rng = np.random.default_rng(5)
+    for less, more in ((4, 5), (5, 6), (8, 10), (16, 20), (80, 100), (400, 500)):
+        within = 0
+        for _ in range(200):
+            h = np.sort(rng.integers(0, 1 << 64, more, dtype=np.uint64))
+            part = np.sort(rng.choice(h, less, replace=False))
+            d = np.bitwise_count(nearcopies.fingerprint(h) ^ nearcopies.fingerprint(part))
+            within += int(d[: nearcopies.TRIE].sum()) <= nearcopies.BUDGET
+        assert within >= 190
