@@ -30,6 +30,54 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(low.other,
 FROM v LEFT JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
 
+#: CRC-32 of a list of bytes ``b``, with the table ``tab`` made from its polynomial.
+CRC_TABLE = "tab AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1))) ORDER BY i) AS tab FROM range(256) r(i))"
+CRC = "xor(list_reduce(list_concat([4294967295], {b}), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
+DIGITS = "list_transform(range(1, length({s}) + 1), lambda i: CAST(ascii({s}[i]) AS BIGINT))"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Nodes are whole prefixes; each node's sums go to all that begin its smallest member.
+TRIE = f"""WITH {CRC_TABLE},
+ids AS (SELECT c, CAST(c AS VARCHAR) AS s FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS MATERIALIZED (SELECT c, c - c % 5 AS b, {CRC.format(b=DIGITS.format(s="s"))} % 9 AS h FROM ids, tab),
+t AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT c, 0 AS part, k, role, text FROM convs JOIN t ON t.conv_id = b WHERE k <= h UNION ALL SELECT c, 1, k, role, text FROM convs JOIN t ON t.conv_id = c WHERE k > h),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d, role, text FROM r),
+p AS MATERIALIZED (SELECT c, d, text, list([role, text]) OVER (PARTITION BY c ORDER BY d) AS key FROM o UNION ALL SELECT c, 0, '', CAST([] AS VARCHAR[][]) FROM convs),
+n AS MATERIALIZED (SELECT key, d, min(c) AS c, count(*) AS n_convs, any_value(text) AS text FROM p GROUP BY 1, 2),
+m AS MATERIALIZED (SELECT p.c, p.d, n.c AS rep, p.d = max(p.d) OVER (PARTITION BY p.c) AS last FROM p JOIN n USING (key, d)),
+kids AS (SELECT m.rep AS c, m.d, count(*) AS n_children FROM n JOIN m ON m.c = n.c AND m.d = n.d - 1 GROUP BY 1, 2),
+own AS MATERIALIZED (SELECT n.c, n.d, n_convs, coalesce(n_children, 0) AS n_children, (n_convs - 1) * octet_length(encode(text)) AS saved FROM n LEFT JOIN kids USING (c, d)),
+up AS (SELECT m.rep AS c, m.d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM own JOIN m ON m.c = own.c AND m.d <= own.d GROUP BY 1, 2),
+ends AS (SELECT rep AS c, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM m WHERE last GROUP BY 1, 2)
+SELECT own.c AS conv_id, own.d AS depth, m.rep AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM own JOIN up USING (c, d) LEFT JOIN ends USING (c, d) LEFT JOIN m ON m.c = own.c AND m.d = own.d - 1"""
+
+#: Pairs by the strings that deletions leave; forms are followed to the last.
+SPELLING = f"""WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+each AS MATERIALIZED (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs GROUP BY 1, 2),
+h AS (SELECT run, k, {CRC.format(b="list_transform(range(1, length(x), 2), lambda i: CAST('0x' || x[i:i + 1] AS BIGINT))")} AS h FROM each, tab),
+n AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:length(run)] ELSE run END AS word, k FROM h) GROUP BY 1 HAVING sum(k) >= 3 AND length(word) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:length(word)] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM n)),
+pair AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, n.word, n.n FROM cut JOIN n ON n.word = rest UNION SELECT n.word, cut.word, cut.n FROM cut JOIN n ON n.word = rest),
+near AS (SELECT word, count(*) AS n_near, min([lpad(CAST(9000000000000000000 - m AS VARCHAR), 19, '0'), other]) AS best FROM pair GROUP BY 1),
+form AS MATERIALIZED (SELECT n.word, n.n, coalesce(n_near, 0) AS n_near, CASE WHEN 9000000000000000000 - CAST(best[1] AS BIGINT) >= 2 * n THEN best[2] END AS form, 9000000000000000000 - CAST(best[1] AS BIGINT) AS form_n FROM n LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS reached FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = reached WHERE form.form IS NOT NULL)
+SELECT form.word, form.form, walk.reached AS root, form.n, form.n_near, CASE WHEN form.form IS NOT NULL THEN form.form_n END AS form_n FROM form JOIN walk USING (word) JOIN form last ON last.word = reached AND last.form IS NULL"""
+
+#: Windows of each size in use, equal as strings.
+LEAKS = f"""WITH b AS (SELECT item_id, regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+p AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM i) WHERE len(w) >= size),
+h AS MATERIALIZED (SELECT r, p.size, k, item_id FROM p JOIN i ON i.size = p.size AND i.s = array_to_string(w[k:k + p.size - 1], ' ')),
+hit AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS x FROM (SELECT DISTINCT r, size, k FROM h)) GROUP BY 1),
+ids AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)"""
+
+
 def urls(rules=urlgraph.RULES, rounds: int = urlgraph.ROUNDS) -> str:
     """Rules, then the rounds of both scores written out one after another."""
     order = sorted(rules, key=lambda r: len(r[1]) + len(r[2]))[::-1]
@@ -88,4 +136,4 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets_scan.B
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scans": secrets(), "op4_url_filters": urls(), "op7_suffix_array_dedup": SUFFIX, "op10_embedding_near_dedup": EMBEDDINGS}
+    return {"op8_secret_scans": secrets(), "op4_url_filters": urls(), "op7_suffix_array_dedup": SUFFIX, "op10_embedding_near_dedup": EMBEDDINGS, "op11_conversation_trie": TRIE, "op12_spelling_variants": SPELLING, "op13_decontamination": LEAKS}
