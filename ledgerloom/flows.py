@@ -91,6 +91,47 @@ def evidence_gate(spark, d):
     return got.select("evidence_count", F.round("avg_score", 6).alias("avg_score"), "chunk_count", "table_count", "passed", "ticker")
 
 
+_ASKED = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT a.vec_id AS question_id, a.vec_id // 100 % 4 AS p, b.vec_id AS v, b.label, (1 + list_cosine_similarity(b.e, a.e)) / 2 AS score FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+r AS (SELECT s.*, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, 'c' || v) AS rc, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, 't' || v) AS rt,
+  d.doc_id, d.source, d.lang FROM s LEFT JOIN documents d ON s.label <> 9 AND d.doc_id = v // 4),
+t AS (SELECT *, 'table' AS source_type, 't' || v AS source_id FROM r WHERE (p = 1 AND rt <= 3) OR (p = 3 AND rt <= 4 AND contains(lang, 'en'))),
+h AS (SELECT * FROM t UNION ALL SELECT *, 'chunk', 'c' || v FROM r WHERE (p = 0 AND rc <= 6) OR (p = 1 AND rc <= 5) OR (p = 2 AND rc <= 7) OR (p = 3 AND rc <= 7 AND contains(lang, 'en') AND question_id NOT IN (SELECT question_id FROM t)))"""
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 asks, by one of four plans in turn."""
+    rows = _t(spark, d, "embeddings").where((F.col("vec_id") % 100 == 0) & F.col("embedding").isNotNull())
+    turn = F.floor(F.col("vec_id") / 100) % 4
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (turn + 1).cast("int"))
+    tools = F.split(pick("chunk_search", "table_search,chunk_search", "graph_traversal", "table_search,graph_traversal"), ",")
+    return rows.select(
+        F.col("vec_id").alias("question_id"), retrieve.doubles().alias("embedding"), tools.alias("tools"), pick(6, 5, 7, 7).alias("chunk_top_k"), pick(4, 3, 2, 4).alias("table_top_k"),
+        F.lit(None).cast("string").alias("ticker"), F.when(turn == 3, F.lit("en")).alias("period"), (turn != 1).alias("use_causal_edges"), (turn == 1).alias("needs_tables"),
+    )
+
+
+@query(f"""{_ASKED} SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, source_type, source_id) AS INT) AS rank, source_type, source_id, doc_id, source AS doc_type, lang AS period, round(score, 6) AS score,
+CASE WHEN source_type = 'table' THEN '' ELSE concat_ws(',', CASE WHEN EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id = v - 1) THEN 'c' || (v - 1) END, 'c' || (v + 1), 'L' || label, CASE WHEN p <> 1 AND label IS NOT NULL THEN 'IMPACTED:L' || (label + 1) END) END AS context FROM h""")
+def retrieval_batch(spark, d):
+    """Evidence of all questions in one plan."""
+    hits = evi.ranked(dispatch.retrieve_all(_corpus(spark, d), _questions(spark, d)), ["src_ord", "pos"], ["question_id"])
+    around = F.concat_ws(",", "prev_chunks", "next_chunks", "entities", "causal_links")
+    return hits.select("question_id", "rank", "source_type", "source_id", "doc_id", "doc_type", "period", F.round("score", 6).alias("score"), around.alias("context"))
+
+
+@query(f"""{_ASKED}, votes AS (SELECT question_id, upper(source) AS t, count(*) AS n, max(score) AS best FROM h WHERE source IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT *, n / sum(n) OVER (PARTITION BY question_id) AS share, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, best DESC) AS k FROM votes),
+g AS (SELECT question_id, count(*) AS n, avg(score) AS a, count(*) FILTER (source_type = 'table') AS nt FROM h GROUP BY 1)
+SELECT q.vec_id AS question_id, coalesce(g.n, 0) AS evidence_count, round(coalesce(a, 0), 6) AS avg_score, coalesce(nt, 0) AS table_count,
+coalesce(g.n, 0) >= 2 AND coalesce(a, 0) >= 0.35 AND (q.vec_id // 100 % 4 <> 1 OR coalesce(nt, 0) > 0) AS passed, CASE WHEN w.n >= 2 AND share >= 0.6 THEN t END AS ticker
+FROM v q LEFT JOIN g ON g.question_id = q.vec_id LEFT JOIN w ON w.question_id = q.vec_id AND k = 1 WHERE q.vec_id % 100 = 0""")
+def evidence_gates(spark, d):
+    """The gate's outcome and the voted ticker of all questions."""
+    gates = dispatch.gather_all(_corpus(spark, d), _questions(spark, d))[1]
+    return gates.select("question_id", "evidence_count", F.round("avg_score", 6).alias("avg_score"), "table_count", "passed", "ticker")
+
+
 @query("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, (1 + list_cosine_similarity(b.e, a.e)) / 2 AS score FROM q a JOIN q b ON len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")

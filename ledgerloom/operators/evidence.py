@@ -18,12 +18,12 @@ def concat_hits(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def dedupe_rank(hits: DataFrame, order: list) -> DataFrame:
-    """First seen of each (source_type, source_id) by ``order``, then rank by score.
+def dedupe_rank(hits: DataFrame, order: list, by: list[str] | None = None) -> DataFrame:
+    """First seen of each (source_type, source_id) by ``order``, then rank by score; of each of ``by``.
 
     A missing score ranks as 0; ties keep the order of first sight.
     """
-    first = F.row_number().over(Window.partitionBy("source_type", "source_id").orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(*(by or []), "source_type", "source_id").orderBy(*order))
     return hits.withColumn("__first", first).where("__first = 1").drop("__first")
 
 
@@ -32,8 +32,8 @@ def ranked(hits: DataFrame, order: list, by: list[str]) -> DataFrame:
     return hits.withColumn("rank", rank)
 
 
-def evidence(df: DataFrame) -> DataFrame:
-    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in EVIDENCE))
+def evidence(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return df.select(*(keys or []), *(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in EVIDENCE))
 
 
 def quality(df: DataFrame, by: list[str]) -> DataFrame:

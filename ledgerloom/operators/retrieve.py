@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
 from ..functions.vector import score
 from ..schema import CAUSAL_TYPES
+from .held import looked_up, salted_join
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, id_: str = "id", mode: str = "index") -> DataFrame:
@@ -27,57 +29,104 @@ def top_k_batch(vectors: DataFrame, queries: dict[int, list[float]], k: int, id_
     return scored.where("score is not null").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", mode: str = "index", block: int = 2048, parts: int | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` nearest vectors of each row of ``queries`` (query_id, embedding).
-
-    Queries are dealt into blocks of about ``block`` and vectors into ``parts``; each pair of a
-    block and a part is a task's matrix of cosines, of which only k rows a query leave it.
-    Vectors of another size, zero vectors and nulls have no score; ties go by id.
-    """
-    spark = vectors.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-queries.count() // block))
-    bits = lambda df, name, n, key: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    left = bits(queries.select(F.col("query_id").cast("long").alias("id"), x.alias("x")), "block", blocks, "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = bits(vectors.select(F.col(id_).cast("long").alias("id"), x.alias("x")), "part", parts, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def units(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By size the ids and unit vectors."""
-        out: dict[int, list] = {}
-        for i, v in zip(table.column("id").to_pylist(), table.column("x").to_pylist(), strict=True):
-            if v and not any(c is None for c in v) and any(v):
-                out.setdefault(len(v), []).append((i, v))
-        got = {}
-        for n, rows in out.items():
-            m = np.array([v for _, v in rows], float)
-            got[n] = np.array([i for i, _ in rows], np.int64), m / np.sqrt((m * m).sum(1))[:, None]
-        return got
-
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        a, b, out = units(asked), units(held), [[], [], []]
+#: Bytes of vectors (as doubles) in a part, and queries in a block, of top_k_all.
+PART_BYTES, BLOCK = 32 << 20, 2048
+
+
+def units(table: pa.Table, id_: str = "id", x: str = "x") -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """By size the ids in order and the unit vectors of lists of doubles. Vectors with a null or
+    non-finite component, zero vectors and nulls are left out."""
+    table = table.filter(pc.is_valid(table.column(x))).combine_chunks()
+    table = table.take(pc.sort_indices(table.column(id_)))
+    out: dict[int, tuple[pa.Array, np.ndarray]] = {}
+    if not table.num_rows:
+        return out
+    lists = table.column(x).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ids = table.column(id_).combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)  # a null component is NaN
+    start = np.concatenate([[0], np.cumsum(size)])
+    for n in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == n)
+        m = flat.reshape(-1, n) if len(at) == len(size) else flat[start[at][:, None] + np.arange(n)]
+        norm = np.sqrt((m * m).sum(1))
+        good = np.isfinite(norm) & (norm > 0)
+        if good.any():
+            out[n] = ids.take(pa.array(at[good])), m[good] / norm[good][:, None]
+    return out
+
+
+def best_of(q: np.ndarray, v: np.ndarray, k: int):
+    """For each query its number, and places and cosines of its ``k`` nearest; ties by place."""
+    for s in range(0, len(q), 256):
+        for i, row in enumerate(q[s : s + 256] @ v.T, s):
+            if len(row) > 4 * k:
+                edge = np.partition(row, len(row) - k)[len(row) - k]
+                may = np.flatnonzero(row >= edge - 1e-12)  # ties at the edge are ordered by place
+                most = may[np.lexsort((may, -row[may]))[:k]]
+            else:
+                most = np.lexsort((np.arange(len(row)), -row))[:k]
+            yield i, most, row[most]
+
+
+def nearest(k: int, kind: pa.DataType):
+    """Cogrouped queries and vectors to (query_id, id, cosine): at most ``k`` rows a query."""
+
+    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
+        a, b = units(asked), units(table)
+        queries, ids, cosines = [np.empty(0, np.int64)], [pa.array([], kind)], [np.empty(0)]
         for n in a.keys() & b.keys():
-            (qs, q), (ids, v) = a[n], b[n]
-            for s in range(0, len(qs), 256):
-                near = q[s : s + 256] @ v.T
-                for row, query in zip(near, qs[s : s + 256].tolist(), strict=True):
-                    most = np.lexsort((ids, -row))[:k] if len(row) <= 4 * k else None
-                    if most is None:
-                        edge = np.partition(row, len(row) - k)[len(row) - k]
-                        may = np.flatnonzero(row >= edge - 1e-12)  # ties at the edge are ordered by id
-                        most = may[np.lexsort((ids[may], -row[may]))[:k]]
-                    out[0] += [query] * len(most)
-                    out[1].append(ids[most])
-                    out[2].append(row[most])
-        flat = lambda c, kind: np.concatenate(c) if c else np.empty(0, kind)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": flat(out[1], np.int64), "cosine": flat(out[2], float)})
-
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "query_id long, id long, cosine double")
+            (qs, q), (vs, v) = a[n], b[n]
+            qs = qs.to_numpy()
+            for i, at, near in best_of(q, v, k):
+                queries.append(np.full(len(at), qs[i]))
+                ids.append(vs.take(pa.array(at)).cast(kind))
+                cosines.append(near)
+        return pa.table({"query_id": np.concatenate(queries), "id": pa.chunked_array(ids), "cosine": np.concatenate(cosines)})
+
+    return run
+
+
+def doubles(column: str = "embedding") -> Column:
+    return F.transform(column, lambda v: v.cast("double"))
+
+
+def top_ranked(found: DataFrame, k: int, mode: str) -> DataFrame:
+    """(query_id, id, score, rank) of the ``k`` nearest over all parts."""
     score_ = (1 + F.col("cosine")) / 2 if mode == "index" else F.col("cosine")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", score_.alias("score"), "rank")
 
 
+def id_kind(df: DataFrame, id_: str) -> tuple[str, pa.DataType]:
+    """Ids are longs or else strings."""
+    whole = df.schema[id_].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return ("bigint", pa.int64()) if whole else ("string", pa.string())
+
+
+def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", mode: str = "index", block: int = BLOCK, parts: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` nearest vectors of each row of ``queries`` (query_id, embedding).
+
+    Queries are dealt into blocks of about ``block`` and vectors into parts of about
+    PART_BYTES; each pair of a block and a part is a matrix of cosines, of which only k rows
+    a query leave the task. Vectors of another size, zero vectors, nulls and vectors with null or
+    non-finite components have no score; ties go by id. Ids are integers or strings.
+    """
+    if parts is None:
+        size = vectors.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0
+        parts = max(1, -(-8 * size // PART_BYTES))
+    blocks = max(1, -(-queries.count() // block))
+    kind, arrow = id_kind(vectors, id_)
+    dealt = lambda df, name, n: df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = dealt(queries.select(F.col("query_id").cast("long").alias("id"), doubles().alias("x")), "block", blocks).select("*", spread("part", parts))
+    right = dealt(vectors.select(F.col(id_).cast(kind).alias("id"), doubles().alias("x")), "part", parts).select("*", spread("block", blocks))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(nearest(k, arrow), f"query_id long, id {kind}, cosine double")
+    return top_ranked(found, k, mode)
+
+
 def optional_filters(df: DataFrame, ticker: str | None = None, period: str | None = None, doc_type: str | None = None) -> DataFrame:
     """A parameter that is None filters nothing; ticker ignores case, period is a substring."""
     if ticker is not None:
@@ -111,28 +160,42 @@ def next_links(chunks: DataFrame, group: str, order: list[str], id_: str) -> Dat
     return chunks.select(F.col(group), F.col(id_).alias("src"), following.alias("dst")).where("dst is not null")
 
 
-def expand(hits: DataFrame, links: DataFrame, mentions: DataFrame, relations: DataFrame, use_causal_edges: bool = True) -> DataFrame:
-    """Hits with previous and next chunks, entities and causal links, sorted and distinct.
+CONTEXT = ("prev_chunks", "next_chunks", "entities", "causal_links")
 
-    Each branch is aggregated by itself, so no branch multiplies another one.
+
+def context(ids: DataFrame, links: DataFrame, mentions: DataFrame, relations: DataFrame, known: list | None = None) -> DataFrame:
+    """For each of ``ids`` (id) previous and next chunks, entities and causal links, sorted and distinct.
+
+    Each branch is aggregated by itself, so no branch multiplies another one. The scans get the
+    ids as literals if they are ``known``. Causes of a name are gathered once; a name that very
+    many chunks mention is dealt out in parts.
     """
 
     def gathered(df: DataFrame, value: Column, name: str) -> DataFrame:
         return df.groupBy("id").agg(F.sort_array(F.collect_set(value)).alias(name))
 
-    ids = hits.select("id")
-    before = gathered(ids.join(links, ids["id"] == links["dst"]), F.col("src"), "prev_chunks")
-    after = gathered(ids.join(links, ids["id"] == links["src"]), F.col("dst"), "next_chunks")
-    named = ids.join(mentions, ids["id"] == mentions["chunk_id"]).select("id", "name")
+    before = gathered(ids.join(looked_up(links, "dst", known), F.col("id") == F.col("dst")), F.col("src"), "prev_chunks")
+    after = gathered(ids.join(looked_up(links, "src", known), F.col("id") == F.col("src")), F.col("dst"), "next_chunks")
+    named = ids.join(looked_up(mentions, "chunk_id", known), F.col("id") == F.col("chunk_id")).select("id", "name")
     entities = gathered(named, F.col("name"), "entities")
-    causal = relations.where(F.col("rel_type").isin(CAUSAL_TYPES) & F.lit(use_causal_edges))
+    causal = relations.where(F.col("rel_type").isin(CAUSAL_TYPES))
     label = F.concat(F.col("rel_type"), F.lit(":"), F.coalesce("tgt_name", F.lit("")))
-    links_ = gathered(named.join(causal, named["name"] == causal["src_name"]), label, "causal_links")
-    out = hits
-    for branch in (before, after, entities, links_):
+    if known is None:
+        causes = causal.groupBy(F.col("src_name").alias("name")).agg(F.collect_set(label).alias("labels"))
+        met = salted_join(named.distinct(), causes, "name", F.col("id")).select("id", F.explode("labels").alias("label"))
+    else:
+        met = named.join(causal, F.col("name") == F.col("src_name")).select("id", label.alias("label"))
+    out = ids
+    for branch in (before, after, entities, gathered(met, F.col("label"), "causal_links")):
         out = out.join(branch, "id", "left")
     empty = F.array().cast("array<string>")
-    return out.withColumns({c: F.coalesce(F.col(c).cast("array<string>"), empty) for c in ("prev_chunks", "next_chunks", "entities", "causal_links")})
+    return out.select("id", *(F.coalesce(F.col(c).cast("array<string>"), empty).alias(c) for c in CONTEXT))
+
+
+def expand(hits: DataFrame, links: DataFrame, mentions: DataFrame, relations: DataFrame, use_causal_edges: bool = True) -> DataFrame:
+    """Hits with their context; without causal edges those links are empty."""
+    got = context(hits.select("id").distinct(), links, mentions, relations if use_causal_edges else relations.limit(0))
+    return hits.join(got, "id", "left")
 
 
 def walk(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
