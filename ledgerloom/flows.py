@@ -7,11 +7,13 @@ companies are sources. States of questions come from orders and line items.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import dispatch, graph, ingest, jobs, retrieve
+from .operators import dispatch, graph, held, ingest, jobs, retrieve, vectorindex
 from .operators import evaluate as ev
 from .operators import evidence as evi
 from .plans import retry
@@ -142,6 +144,35 @@ def vector_topk_all(spark, d):
     return got.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))
 
 
+def _index(spark: SparkSession, d: str) -> tuple[vectorindex.Index, DataFrame, DataFrame]:
+    """(inverted lists of all vectors, the vectors, those whose id is divisible by 100 as queries)."""
+    vectors = _vectors(spark, d).select("id", "embedding")
+    size = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    path = f"{held.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    return vectorindex.build(vectors, path, size), vectors, vectors.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "embedding")
+
+
+@query("""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, (1 + list_cosine_similarity(b.e, a.e)) / 2 AS score FROM q a JOIN q b ON len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
+def vector_index_exact(spark, d):
+    """Every vector whose id is divisible by 100 against all, from the inverted lists that can hold its neighbours."""
+    index, _, queries = _index(spark, d)
+    got = vectorindex.search_exact(index, queries, 5)
+    return got.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))
+
+
+@query("SELECT count(*) AS vectors, count(*) FILTER (vec_id % 100 = 0) AS queries, TRUE AS recall_reached, TRUE AS reads_less FROM embeddings WHERE embedding IS NOT NULL")
+def vector_index_recall(spark, d):
+    """Recall of the approximate search against brute force: 0.9 of the ten nearest, with fewer rows read."""
+    index, vectors, queries = _index(spark, d)
+    probes, share = vectorindex.probes_for(index, vectors, 10)
+    got = vectorindex.recall_of(vectorindex.search(index, queries, 10, probes), retrieve.top_k_all(vectors, queries, 10))
+    return vectors.where("embedding is not null").agg(
+        F.count("*").alias("vectors"), F.count_if(F.col("id") % 100 == 0).alias("queries"), F.lit(got >= 0.9).alias("recall_reached"), F.lit(share < 1).alias("reads_less")
+    )
+
+
 @query("""SELECT doc_id // 32 AS g, string_agg('[chunk | ' || coalesce(source, 'None') || ' | ' || coalesce(lang, 'None') || ' | None | score=' || coalesce(CAST(n_chars AS VARCHAR), 'None') || ']' || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS serialised
 FROM documents GROUP BY 1""")
 def evidence_documents(spark, d):
