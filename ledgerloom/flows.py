@@ -17,8 +17,8 @@ from .operators import dispatch, graph, held, ingest, jobs, retrieve, vectorinde
 from .operators import evaluate as ev
 from .operators import evidence as evi
 from .plans import retry
-from .queries import _SCORED, _t, _vector_of, _vectors, query
-from .streaming import sse
+from .queries import _SCORED, _SQL, _t, _vector_of, _vectors, query
+from .streaming import sse, stateful
 
 
 def _corpus(spark: SparkSession, d: str) -> dispatch.Corpus:
@@ -467,9 +467,32 @@ def job_claims(spark, d):
 g AS (SELECT conv_id, string_agg(role, ',' ORDER BY first) AS completed FROM f GROUP BY 1) SELECT m.conv_id, arg_max(role, turn) AS active, coalesce(any_value(completed), '') AS completed FROM m LEFT JOIN g USING (conv_id) GROUP BY 1""")
 def stream_steps(spark, d):
     """Steps of a stream of server-sent events, one for each message of a conversation."""
+    got = sse.steps(sse.nodes(sse.events(_event_streams(spark, d), "conv_id", "raw"), "conv_id"), "conv_id")
+    return got.select("conv_id", "active", F.array_join("completed", ",").alias("completed"))
+
+
+def _event_streams(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, raw): an event for each message, then one that isn't whole."""
     data = F.concat(F.lit('[{}, {"langgraph_node": "'), F.col("role"), F.lit('"}]'))
     block = F.concat(F.lit("id: 1\nevent: messages\ndata: "), data, F.lit("\n\n"))
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), "")
-    raw = _t(spark, d, "conversations").groupBy("conv_id").agg(F.concat(texts, F.lit("event: messages\ndata: [{}, {\"langgraph_node\": \"cut")).alias("raw"))
-    got = sse.steps(sse.nodes(sse.events(raw, "conv_id", "raw"), "conv_id"), "conv_id")
-    return got.select("conv_id", "active", F.array_join("completed", ",").alias("completed"))
+    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.concat(texts, F.lit("event: messages\ndata: [{}, {\"langgraph_node\": \"cut")).alias("raw"))
+
+
+@query(_SQL["illegal_transitions"])
+def illegal_transitions_stream(spark, d):
+    """illegal_transitions from a replayed stream of the events, a quarter of the time a batch."""
+    status = F.element_at(F.lit(["QUEUED", "RUNNING", "COMPLETED", "FAILED", "CANCELLED"]), (1 + F.col("event_id") % 5).cast("int"))
+    rows = _t(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    stream = stateful.as_files(rows, 4, stateful.quarters(rows, "ts"))(spark)
+    got = stateful.replayed(stateful.lifecycles(stream, "user_id", "ts", "event_id", "status"))
+    return got.select(F.col("key").alias("user_id"), F.col("at").alias("event_id"), "status", "previous")
+
+
+@query(_SQL["stream_steps"])
+def stream_steps_stream(spark, d):
+    """stream_steps from the bytes of the streams, cut into pieces of 61 that come in four batches."""
+    pieces = stateful.cut(_event_streams(spark, d), "conv_id", "raw", 61)
+    stream = stateful.as_files(pieces, 4, F.pmod(F.xxhash64("key", "turn"), F.lit(4)))(spark)
+    got = stateful.replayed(stateful.server_events(stream, "key", "turn", "piece")).withColumnRenamed("key", "conv_id")
+    return sse.steps(sse.nodes(got, "conv_id"), "conv_id").select("conv_id", "active", F.array_join("completed", ",").alias("completed"))
