@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,22 +44,95 @@ def title_name(c: Column) -> Column:
     return F.pandas_udf(_titles, "string")(c)
 
 
-def _canonical(token: str) -> str | None:
-    percent = token.endswith("%")
-    try:
-        value = float(token.rstrip("%").replace(",", ""))
-    except ValueError:
-        return None
-    return f"{value:g}{'%' if percent else ''}"
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, inside a lambda too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _canonical_all(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else list(dict.fromkeys(c for t in ts if (c := _canonical(t)))))
+def _whole(x: Column) -> Column:
+    return x.cast("decimal(38,0)")
+
+
+def _powers(base: int, n: int) -> Column:
+    return F.array(*(F.lit(str(base**k)).cast("decimal(38,0)") for k in range(n)))
+
+
+def _scaled(v: Column, e: Column) -> Column:
+    """v / 10^(e - 5) as the nearest whole number, halves to even, from v's exact binary value.
+
+    v is m / 2^k with a whole m under 2^55, so that the quotient of two whole numbers of 38 digits
+    at most decides.
+    """
+
+    def of(k: Column, p: Column) -> Column:
+        at = lambda base, n, x: F.element_at(_powers(base, n), F.greatest(x, F.lit(0)) + 1)
+        two = F.power(F.lit(2.0), F.least(k, F.lit(1000)).cast("double"))
+        m = _whole((v * two).cast("long"))
+        # 2^(p - k) * 5^p, each power above or below the line by its sign
+        up = _whole(_whole(m * at(5, 32, p)) * at(2, 120, p - k))
+        down = _whole(at(2, 120, k - p) * at(5, 32, -p))
+        return _let(F.struct(up.alias("up"), down.alias("down")), lambda f: _let(_whole(f["up"] % f["down"]), lambda rest: _rounded(f["up"], f["down"], rest)))
+
+    return _let(F.lit(53) - F.floor(F.log2(v)).cast("int"), lambda k: of(k, F.lit(5) - e))
+
+
+def _rounded(up: Column, down: Column, rest: Column) -> Column:
+    low = _whole((up - rest) / down).cast("long")
+    return low + F.when(rest * 2 > down, 1).when((rest * 2 == down) & (low % 2 == 1), 1).otherwise(0)
+
+
+def _digits(r: Column, e: Column) -> Column:
+    """Six digits r and the exponent of the first as a plain or, from 10^6 up and under 10^-4, a scientific number."""
+    d = F.lpad(r.cast("string"), 6, "0")
+    bare = lambda x: F.regexp_replace(x, r"\.?0*$", "")  # noqa: E731  of a text with a point
+    plain = F.when(e >= 0, F.concat(F.left(d, e + 1), F.lit("."), F.substr(d, e + 2))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d))
+    power = F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    return F.when((e < -4) | (e >= 6), F.concat(bare(F.concat(F.left(d, F.lit(1)), F.lit("."), F.substr(d, F.lit(2)))), power)).otherwise(bare(plain))
+
+
+def six_digits(v: Column) -> Column:
+    """A double that isn't negative with six significant digits, as C's %g has it.
+
+    Exact from 10^-25 to 10^36; beyond, the shortest form that reads as the same double is
+    rounded, which differs at most where it ends in a 5 or has under six digits.
+    """
+
+    def near(x: Column) -> Column:
+        e = F.floor(F.log10(x)).cast("int")
+        done = lambda r, e: F.when(r >= 1_000_000, _digits(F.lit(100_000).cast("long"), e + 1)).otherwise(_digits(r, e))
+        return _let(e, lambda e: _let(_scaled(x, e), lambda r: done(r, e)))
+
+    def far(x: Column) -> Column:
+        shown = F.format_string("%.5e", x)
+        return F.concat(F.regexp_replace(F.substring_index(shown, "e", 1), r"\.?0*$", ""), F.lit("e"), F.substring_index(shown, "e", -1))
+
+    inf = F.lit(float("inf"))
+    return F.when(v == 0, F.lit("0")).when(v == inf, F.lit("inf")).when((v >= 1e-25) & (v < 1e36), near(F.when((v >= 1e-25) & (v < 1e36), v).otherwise(F.lit(1.0)))).otherwise(far(v))
+
+
+# Decimal digits of all scripts, and their values.
+_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+_VALUES = "".join(str(unicodedata.digit(c)) for c in _NUMERALS)
+
+
+def canonical_number(token: Column) -> Column:
+    """A number's text with six significant digits and its percent sign; null if it is no number."""
+    plain = F.replace(token, F.lit(","), F.lit(""))
+    plain = F.when(plain.rlike("[^\\x00-\\x7F]"), F.translate(plain, _NUMERALS, _VALUES)).otherwise(plain)
+
+    def of(t: Column) -> Column:
+        percent = F.when(t.endswith("%"), F.lit("%")).otherwise(F.lit(""))
+        bare = F.regexp_replace(t, "%+$", "")
+        short = F.regexp_replace(bare, "^0+(?=.)", "")
+        value = _let(bare.try_cast("double"), lambda v: F.when(v.isNotNull(), six_digits(v)))
+        return F.concat(F.when(bare.rlike("^[0-9]{1,6}$"), short).otherwise(value), percent)
+
+    return _let(plain, of)
 
 
 def canonical_numbers(c: Column) -> Column:
     """Each distinct number with six significant digits and its percent sign, in order."""
-    return F.pandas_udf(_canonical_all, "array<string>")(c)
+    return F.array_distinct(F.filter(F.transform(c, canonical_number), lambda x: x.isNotNull()))
 
 
 def numeric_claims(c: Column) -> Column:

@@ -220,7 +220,20 @@ def citations(spark, d):
     return evi.citations(rows, "o_custkey", "pos").select("o_custkey", "source_type", "source_id", "title", "score", F.col("n").cast("int"))
 
 
-@query()
+#: Numbers of texts as RE2 can have them, which looks neither back nor ahead: texts fall into numbers, words and the rest;
+#: a number that a word follows at once gives way, to what a comma, a point or a percent sign ends.
+_CLAIMS = """tok AS (SELECT doc_id, source, x, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '(?s)\\p{Nd}[\\p{Nd},]*(?:\\.\\p{Nd}+)?%?|[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') AS x FROM documents)),
+num AS (SELECT doc_id, source, i, CASE WHEN NOT regexp_matches(coalesce(x[i + 1], ''), '^[\\p{L}\\p{N}_]') THEN t WHEN ends_with(t, '%') THEN t[1:length(t) - 1] WHEN contains(t, '.') THEN split_part(t, '.', 1) WHEN contains(t, ',') THEN regexp_extract(t, '^(.*),', 1) END AS t
+  FROM tok WHERE regexp_matches(t, '^\\p{Nd}') AND NOT regexp_matches(coalesce(x[i - 1], ''), '[\\p{L}\\p{N}_]$')),
+can AS (SELECT doc_id, source, min(i) AS i, printf('%g', TRY_CAST(replace(rtrim(t, '%'), ',', '') AS DOUBLE)) || CASE WHEN ends_with(t, '%') THEN '%' ELSE '' END AS c FROM num WHERE t IS NOT NULL AND t <> '' GROUP BY doc_id, source, t),
+claim AS MATERIALIZED (SELECT doc_id, source, c, min(i) AS i FROM can WHERE c IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_CLAIMS}, first AS (SELECT source, arg_min(doc_id, doc_id) AS first FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1),
+known AS (SELECT DISTINCT first.source, claim.c FROM first JOIN claim ON claim.doc_id = first.first),
+g AS (SELECT claim.doc_id, count(*) AS n, count(*) FILTER (known.c IS NULL) AS lacking, string_agg(claim.c, ',' ORDER BY claim.i) FILTER (known.c IS NULL) AS missing FROM claim LEFT JOIN known ON known.source = claim.source AND known.c = claim.c GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS claim_total_count, CAST(coalesce(n - lacking, 0) AS INT) AS supported_claim_count, CAST(coalesce(lacking, 0) AS INT) AS unsupported_claim_count,
+round(CASE WHEN coalesce(n, 0) = 0 THEN 1 ELSE (n - lacking) / n END, 6) AS claim_support_ratio, coalesce(missing, '') AS unsupported_claims FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id WHERE d.source IS NOT NULL""")
 def claim_support(spark, d):
     """Numbers of documents against those of the first document of their source."""
     docs = _t(spark, d, "documents")
