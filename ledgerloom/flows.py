@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import dispatch, graph, held, ingest, jobs, retrieve, vectorindex
+from .operators import dispatch, graph, held, ingest, jobs, retrieve, store, vectorindex
 from .operators import evaluate as ev
 from .operators import evidence as evi
 from .plans import retry
@@ -496,3 +496,31 @@ def stream_steps_stream(spark, d):
     stream = stateful.as_files(pieces, 4, F.pmod(F.xxhash64("key", "turn"), F.lit(4)))(spark)
     got = stateful.replayed(stateful.server_events(stream, "key", "turn", "piece")).withColumnRenamed("key", "conv_id")
     return sse.steps(sse.nodes(got, "conv_id"), "conv_id").select("conv_id", "active", F.array_join("completed", ",").alias("completed"))
+
+
+def _table(spark: SparkSession, schema: str, key: list[str], buckets: int = 16) -> store.KeyedTable:
+    return store.KeyedTable.create(spark, f"{held.shared_folder(spark)}/table-{uuid.uuid4().hex}", schema, key, buckets)
+
+
+@query(_SQL["upsert_rows"])
+def upsert_batches(spark, d):
+    """upsert_rows by batches that are recorded: all orders, a change of some, and the change once more."""
+    old = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    new = old.where(F.col("o_orderkey") % 4 == 0).select("o_orderkey", F.lit("N").alias("status"), (F.col("price") * 2).alias("price"))
+    table = _table(spark, f"o_orderkey {old.schema['o_orderkey'].dataType.simpleString()}, status string, price {old.schema['price'].dataType.simpleString()}", ["o_orderkey"])
+    for batch, rows in (("load", old), ("change", new), ("change", new)):
+        table.apply(batch, rows, ["price"])
+    return table.read()
+
+
+@query(_SQL["job_state_fold"])
+def job_state_batches(spark, d):
+    """job_state_fold batch by batch: a quarter of the events each, the second one twice; nulls change nothing."""
+    k = F.col("event_id")
+    log = _t(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(k % 3 != 0, F.col("event_type")).alias("status"), F.when(k % 2 == 0, F.col("value")).alias("value"), F.col("ts").cast("timestamp").alias("updated_at"))
+    log = log.withColumn("quarter", stateful.quarters(log, "ts"))
+    table = _table(spark, f"user_id {log.schema['user_id'].dataType.simpleString()}, status string, value double, updated_at timestamp", ["user_id"])
+    for q in (0, 1, 1, 2, 3):
+        rows = jobs.fold(log.where(F.col("quarter") == q), "user_id", ["ts", "event_id"], ["status", "value", "updated_at"])
+        table.apply(f"quarter {q}", rows, ["updated_at"], store.update)
+    return table.read()
