@@ -524,3 +524,31 @@ def job_state_batches(spark, d):
         rows = jobs.fold(log.where(F.col("quarter") == q), "user_id", ["ts", "event_id"], ["status", "value", "updated_at"])
         table.apply(f"quarter {q}", rows, ["updated_at"], store.update)
     return table.read()
+
+
+@query(_SQL["next_chain"])
+def chain_repair(spark, d):
+    """next_chain, from the chain of what was there before some messages went and others came."""
+    rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("turn").cast("double").alias("sequence"))
+    late = (F.col("doc_id") % 3 == 0) & (F.col("sequence") % 3 == 1)
+    extra = rows.where((F.col("doc_id") % 4 == 1) & (F.col("sequence") % 2 == 0)).select("doc_id", F.concat("id", F.lit("x")).alias("id"), F.col("sequence") + 0.5)
+    before = rows.where(~late).unionAll(extra)
+    chain = retrieve.next_links(before, "doc_id", ["sequence", "id"], "id")
+    go, come = graph.repair_chain(chain, before, rows.where(late), extra)
+    return graph.repaired(chain, go, come).select(F.col("doc_id").alias("conv_id"), "src", "dst")
+
+
+_NEWEST = [("o_orderdate", True), ("o_orderkey", False)]
+
+
+@query("SELECT (n - 1) // 20 AS page, o_orderdate, o_orderkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F') WHERE (n - 1) % 20 = 0")
+def page_bounds(spark, d):
+    """Where each page of the finished orders, newest first, begins."""
+    return jobs.page_bounds(_t(spark, d, "orders").where("o_orderstatus = 'F'"), _NEWEST, 20)
+
+
+@query(_SQL["list_documents_page"])
+def list_documents_keyset(spark, d):
+    """list_documents_page by the bounds of its page, without the rows before."""
+    rows = _t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    return jobs.page_at(rows, jobs.page_bounds(rows, _NEWEST, 20), _NEWEST, 20, 2)

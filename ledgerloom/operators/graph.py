@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import title_name
 from ..functions.vector import dot
 from ..schema import ENTITY_LABELS, RELATION_TYPES
+from .held import MOST, written
 from .retrieve import next_links, top_k
 
 log = logging.getLogger(__name__)
@@ -227,11 +228,56 @@ def document_chain(contains: DataFrame, has_chunk: DataFrame) -> DataFrame:
     return next_links(document_chunks(contains, has_chunk), "doc_id", ["sequence", "id"], "id")
 
 
-def write_by_type(df: DataFrame, kind: str, path: str) -> None:
-    """Rows grouped by type: one folder each."""
-    df.repartition(kind).write.mode("overwrite").partitionBy(kind).parquet(path)
+def write_by_type(df: DataFrame, kind: str, path: str, each: int = 1_000_000) -> None:
+    """Rows grouped by type: one folder each, of files of about ``each`` rows, so that a type that
+    most rows have is written by many tasks. Types are few: their counts are read by the driver."""
+    counts = written(df.groupBy(F.col(kind).alias("__kind")).agg(F.ceil(F.count("*") / each).cast("int").alias("__parts")))
+    dealt = df.join(F.broadcast(counts), F.col(kind).eqNullSafe(F.col("__kind")), "left").withColumn("__part", F.floor(F.rand(7) * F.col("__parts")).cast("int"))
+    total = max(1, counts.agg(F.sum("__parts")).first()[0] or 1)
+    dealt.repartition(total, kind, "__part").drop("__kind", "__parts", "__part").write.mode("overwrite").partitionBy(kind).parquet(path)
 
 
 def entity_total(extractions: DataFrame) -> DataFrame:
     """One row: entities over all extractions, 0 without any."""
     return extractions.agg(F.coalesce(F.sum(F.coalesce(F.size("entities"), F.lit(0))), F.lit(0)).alias("entities"))
+
+
+def repair_chain(chain: DataFrame, chunks: DataFrame, inserted: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links that go, links that come) of a chain (doc_id, src, dst) over ``chunks`` (doc_id, id,
+    sequence) when ``inserted`` (doc_id, id, sequence) come and ``deleted`` (doc_id, id) go.
+
+    Only the neighbours of what changes are linked anew, and only documents of the change are
+    read: as literals if they are few. Chunks are in order of sequence, then id. An id that is
+    deleted and inserted moves; one that is not there can't be deleted.
+    """
+    docs = inserted.select("doc_id").union(deleted.select("doc_id")).where("doc_id is not null").distinct()
+    some = docs.limit(MOST + 1).collect()
+    if len(some) <= MOST:
+        ids = [r[0] for r in some]
+        chain, chunks = chain.where(F.col("doc_id").isin(ids)), chunks.where(F.col("doc_id").isin(ids))
+    else:
+        docs = written(docs)
+        chain, chunks = chain.join(docs, "doc_id", "left_semi"), chunks.join(docs, "doc_id", "left_semi")
+    key = ["doc_id", "id"]
+    gone = chunks.select(*key, "sequence").join(deleted.select(*key).distinct(), key, "left_semi")
+    stay = chunks.select(*key, "sequence").join(deleted.select(*key).distinct(), key, "left_anti")
+    new = inserted.select(*key, "sequence").distinct()
+    kind = lambda df, k: df.withColumn("kind", F.lit(k))
+    rows = kind(stay, "stays").unionByName(kind(new, "comes")).unionByName(kind(gone, "goes"))
+    own = Window.partitionBy("doc_id").orderBy("sequence", "id")
+    here = F.when(F.col("kind") != "goes", F.col("id"))
+    before = F.last(here, True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(here, True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    around = rows.withColumns({"before": before, "after": after}).where("kind <> 'stays'")
+    link = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    links = F.when(F.col("kind") == "comes", F.array(link("before", "id"), link("id", "after"))).otherwise(F.array(link("before", "after")))
+    come = around.select("doc_id", F.explode(links).alias("l")).select("doc_id", "l.*").where("src is not null and dst is not null").distinct()
+    ends = deleted.select(*key).union(come.select("doc_id", "src")).distinct()
+    out = chain.join(ends.withColumnRenamed("id", "src"), ["doc_id", "src"], "left_semi").select("doc_id", "src", "dst")
+    into = chain.join(deleted.select("doc_id", F.col("id").alias("dst")).distinct(), ["doc_id", "dst"], "left_semi").select("doc_id", "src", "dst")
+    return out.union(into).distinct(), come
+
+
+def repaired(chain: DataFrame, go: DataFrame, come: DataFrame) -> DataFrame:
+    """The chain after ``repair_chain``."""
+    return chain.join(go, ["doc_id", "src", "dst"], "left_anti").unionByName(come)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, parse_iso, utc_iso
 from ..schema import DOCUMENT_NEXT, DOCUMENT_STATES, JOB_NEXT, JOB_STATES, STAGES
+from .held import written
+
 
 def fold(log: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """The last value that isn't null of each field of each key.
@@ -53,6 +55,63 @@ def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_bounds(df: DataFrame, order: list[tuple[str, bool]], size: int) -> DataFrame:
+    """(page, columns of ``order``): the first row of each page of ``size`` rows.
+
+    ``order`` has (column, descending), the last of them unique. Rows are sorted by ranges, and
+    counted range by range, so that no task numbers them all; nulls come first going up, last going down.
+    """
+    by = [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
+    names = [c for c, _ in order]
+    rows = df.select(*names).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = written(rows.withColumn("__at", F.monotonically_increasing_id()))
+    part, turn = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__part", before.alias("__before"))  # a row a range
+    placed = rows.withColumn("__part", part).join(F.broadcast(counts), "__part").withColumn("__pos", F.col("__before") + turn)
+    return placed.where(F.col("__pos") % size == 0).select((F.col("__pos") / size).cast("long").alias("page"), *names)
+
+
+def _not_before(order: list[tuple[str, bool]], row: dict) -> Column:
+    """Rows at or after ``row``."""
+
+    def after(c: str, down: bool, v) -> Column:
+        x = F.col(c)
+        if v is None:
+            return F.lit(False) if down else x.isNotNull()
+        return (x < F.lit(v)) | x.isNull() if down else x > F.lit(v)
+
+    out, same = F.lit(False), F.lit(True)
+    for c, down in order:
+        out = out | (same & after(c, down, row[c]))
+        same = same & F.col(c).eqNullSafe(F.lit(row[c]))
+    return F.coalesce(out | same, F.lit(False))
+
+
+def _edge(column: str, low: object, high: object) -> Column:
+    """``column`` from low to high, nulls being least; a bound that is null bounds nothing. This reaches the scan."""
+    least = F.lit(True) if low is None else F.col(column) >= F.lit(low)
+    most = F.lit(True) if high is None else (F.col(column) <= F.lit(high)) | F.col(column).isNull()
+    return least & most
+
+
+def page_at(df: DataFrame, bounds: DataFrame, order: list[tuple[str, bool]], size: int, number: int) -> DataFrame:
+    """Page ``number`` (from 0) of a listing whose ``bounds`` are known: rows from its first to the
+    next page's are read, not all that come before. As OFFSET gives it, while rows are those of the bounds."""
+    ends = {r["page"]: r.asDict() for r in bounds.where(F.col("page").isin(number, number + 1)).collect()}
+    if number not in ends:
+        return df.limit(0)
+    first, down = order[0]
+    begin, end = ends[number], ends.get(number + 1)
+    values = begin[first], end[first] if end else None
+    low, high = values[::-1] if down else values
+    df = df.where(_edge(first, low, high)).where(_not_before(order, begin))
+    if end:
+        df = df.where(~_not_before(order, end))
+    return df.orderBy(*(F.col(c).desc() if down else F.col(c).asc() for c, down in order)).limit(size)
+
+
 def latest_question(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """The last message of a person that isn't blank."""
     own = messages.where(F.col(role).isin("user", "human") & (F.trim(F.coalesce(text, F.lit(""))) != ""))
