@@ -287,10 +287,62 @@ def split_text(text: str, size: int = 2048, overlap: int = 256, separators: list
     return out
 
 
-def splitter(size: int = 2048, overlap: int = 256):
-    """A column function: text to the array of its chunks; null and blank give none."""
+# White space as str.strip has it.
+_SPACE = r"[\s\x1c-\x1f]"
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
+
+
+def _cut(pieces: Column, separator: str, level: int, size: int) -> Column:
+    """Pieces over ``size`` characters that have ``separator`` cut before it. What is cut is a group of its own."""
+
+    def one(p: Column, i: Column) -> Column:
+        regex = f"(?={re.escape(separator)})" if separator else ""
+        mine = F.concat(p["g"], F.lit(f":{level}."), i.cast("string"))
+        parts = F.transform(F.filter(F.split(p["t"], regex, -1), lambda x: x != ""), lambda x: F.struct(x.alias("t"), mine.alias("g")))
+        has = F.contains(p["t"], F.lit(separator)) if separator else F.lit(True)
+        return F.when((F.length(p["t"]) > size) & has, parts).otherwise(F.array(p))
+
+    return F.flatten(F.transform(pieces, one))
+
+
+def _joined(pieces: Column, size: int, overlap: int) -> Column:
+    """Neighbours of a group joined up to ``size`` characters; what is left over of one text begins the next."""
+    state = lambda out, text, sizes, g: F.struct(out.alias("out"), text.alias("text"), sizes.alias("sizes"), g.alias("g"))
+    none, empty = F.array().cast("array<string>"), F.array().cast("array<int>")
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None or not t.strip() else split_text(t, size, overlap))
+    def told(s: Column) -> Column:
+        return _let(_stripped(s["text"]), lambda t: F.when(t != "", F.array_append(s["out"], t)).otherwise(s["out"]))
 
-    return F.pandas_udf(run, "array<string>")
+    def left(s: Column, n: Column) -> Column:
+        """What is held when at most ``overlap`` characters, and with n more at most ``size``, may stay."""
+        most = F.least(F.lit(overlap), F.lit(size) - n)
+        drop = F.aggregate(s["sizes"], F.struct(F.length(s["text"]).alias("left"), F.lit(0).alias("k")), lambda a, x: F.when(a["left"] > most, F.struct((a["left"] - x).alias("left"), (a["k"] + 1).alias("k"))).otherwise(a))
+        return _let(drop, lambda d: state(told(s), F.right(s["text"], d["left"]), F.slice(s["sizes"], d["k"] + 1, F.size(s["sizes"])), s["g"]))
+
+    def add(s: Column, p: Column) -> Column:
+        def more(s: Column, n: Column) -> Column:
+            return state(s["out"], F.concat(s["text"], p["t"]), F.array_append(s["sizes"], n), p["g"])
+
+        def step(n: Column) -> Column:
+            fresh = F.when(s["g"] != p["g"], state(told(s), F.lit(""), empty, p["g"]))
+            return _let(fresh.when(F.length(s["text"]) + n > size, left(s, n)).otherwise(s), lambda x: more(x, n))
+
+        return _let(F.length(p["t"]), step)
+
+    return F.aggregate(pieces, state(none, F.lit(""), empty, F.lit("")), add, told)
+
+
+def split_column(c: Column, size: int = 2048, overlap: int = 256, separators: list[str] = SEPARATORS) -> Column:
+    """``split_text`` by built-in functions: the array of a text's chunks; null and blank give none."""
+    pieces = F.array(F.struct(F.coalesce(c, F.lit("")).alias("t"), F.lit("").alias("g")))
+    for level, separator in enumerate(separators):
+        pieces = _cut(pieces, separator, level, size)
+    return _joined(pieces, size, overlap)
+
+
+def splitter(size: int = 2048, overlap: int = 256):
+    """A column function: text to the array of its chunks; null and blank give none."""
+    return lambda c: split_column(F.col(c) if isinstance(c, str) else c, size, overlap)

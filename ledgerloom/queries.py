@@ -399,7 +399,40 @@ def section_assemble(spark, d):
     return ingest.assemble(span(0, "RISK", 0, 1).unionByName(span(1, "NOTES", 2, 99)), pages).select("doc_id", "idx", "section_type", "content")
 
 
-@query()
+def _split_sql(size: int, overlap: int) -> str:
+    """Chunks of documents in SQL: pieces are cut level by level, then joined by a fold over each text's pieces."""
+    quoted = lambda x: "'" + x.replace("\n", "' || chr(10) || '") + "'"
+    steps = []
+    for level, sep in enumerate(tx.SEPARATORS):
+        if sep == "":
+            parts = "string_split(p.t, '')"
+        elif sep == "\n\n":  # before every line feed that another one follows
+            lines = "list_transform(x, lambda y, k: CASE WHEN k = 1 THEN y WHEN y = '' AND k < len(x) THEN chr(1) || chr(10) ELSE chr(10) || y END)"
+            parts = f"string_split(array_to_string(list_transform([string_split(p.t, chr(10))], lambda x: {lines})[1], ''), chr(1))"
+        else:
+            parts = f"list_transform(string_split(p.t, {quoted(sep)}), lambda y, k: CASE WHEN k = 1 THEN y ELSE {quoted(sep)} || y END)"
+        has = f"contains(p.t, {quoted(sep)})" if sep else "TRUE"
+        cut = f"list_transform(list_filter({parts}, lambda y: y <> ''), lambda y: {{'t': y, 'g': p.g || ':{level}.' || i}})"
+        steps.append(f"p{level + 1} AS MATERIALIZED (SELECT doc_id, flatten(list_transform(ps, lambda p, i: CASE WHEN length(p.t) > {size} AND {has} THEN {cut} ELSE [p] END)) AS ps FROM p{level})")
+    space = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    strip = lambda t: f"regexp_replace({t}, '^{space}+|{space}+$', '', 'g')"
+    told = lambda s: f"CASE WHEN {strip(s + '.text')} <> '' THEN list_append({s}.out, {strip(s + '.text')}) ELSE {s}.out END"
+    state = lambda out, text, sizes, g: f"{{'out': {out}, 'text': {text}, 'sizes': {sizes}, 'g': {g}}}"
+    none = "CAST([] AS VARCHAR[])", "CAST([] AS BIGINT[])"
+    first = f"list_filter(range(0, len(s.sizes) + 1), lambda k: coalesce(list_sum(s.sizes[k + 1:]), 0) <= least({overlap}, {size} - length(p.text)))[1]"
+    less = "list_transform([{}], lambda k: {})[1]".format(first, state(told("s"), "right(s.text, CAST(coalesce(list_sum(s.sizes[k + 1:]), 0) AS BIGINT))", "s.sizes[k + 1:]", "s.g"))
+    now = f"CASE WHEN s.g <> p.g THEN {state(told('s'), chr(39) * 2, none[1], 'p.g')} WHEN length(s.text) + length(p.text) > {size} THEN {less} ELSE s END"
+    body = f"list_transform([{now}], lambda x: {state('x.out', 'x.text || p.text', 'list_concat(x.sizes, p.sizes)', 'p.g')})[1]"
+    begin = state(none[0], "''", none[1], "''")
+    each = f"list_transform(ps, lambda p: {state(none[0], 'p.t', '[length(p.t)]', 'p.g')})"
+    last = len(tx.SEPARATORS)
+    return f"""WITH p0 AS (SELECT doc_id, [{{'t': coalesce(text, ''), 'g': ''}}] AS ps FROM documents), {", ".join(steps)},
+f AS MATERIALIZED (SELECT doc_id, list_reduce(list_concat([{begin}], {each}), lambda s, p: {body}) AS s FROM p{last}),
+c AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) - 1 AS n FROM (SELECT doc_id, {told("s")} AS x FROM f))
+SELECT doc_id || '_GENERAL_' || n AS id, doc_id || '_sec_0' AS section_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(n AS INT) AS sequence, 1 AS page, CAST(length(t) AS INT) AS n_chars FROM c"""
+
+
+@query(_split_sql(2048, 256))
 def chunk_documents(spark, d):
     docs = _t(spark, d, "documents")
     sections = ingest.section_ids(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("idx"), F.lit("GENERAL").alias("section_type"), F.col("text").alias("content"), F.lit(1).alias("page_start")))
