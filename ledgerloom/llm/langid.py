@@ -6,10 +6,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, parallelism, table
 
 #: Labelled documents a language that the classifiers are fitted on, at most; each sends
 #: 2 * SIZE bytes to the driver, 5 MB a language.
@@ -146,11 +146,12 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
-    """Classifiers from texts and languages of the documents that aren't held out.
+def chosen(docs: DataFrame, per_language: int) -> DataFrame | None:
+    """(rank, lang, text) of ``per_language`` lettered rows of each language at most, those of the
+    smallest hash of their doc_id, of one doc_id those of the smallest hash of their text.
 
-    Of each language the ``per_language`` documents with the smallest hashes of their
-    doc_id are used, so the driver sees a bounded number of feature rows.
+    Tasks keep no more of a language before the rows meet, also where very many share a doc_id
+    or have none.
     """
     lettered = docs.where(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != ""))
     counts = {r["lang"]: r["count"] for r in lettered.groupBy("lang").count().collect()}
@@ -159,7 +160,20 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
     # Hashes are even: a little more than the share that is wanted is looked at.
     rank = F.xxhash64(F.lit(1), "doc_id") / 2.0**64 + 0.5
     share = F.element_at(F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, (1.2 * per_language + 50) / n)))), F.col("lang"))
-    chosen = lettered.where(rank <= share).where(F.col("text").rlike(r"\p{L}")).select(rank.alias("rank"), "lang", F.col("text").cast("string").alias("text"))
+    rows = lettered.where(rank <= share).where(F.col("text").rlike(r"\p{L}")).select(rank.alias("rank"), "lang", F.col("text").cast("string").alias("text"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank", F.xxhash64("text"), "text"))
+    return rows.withColumn("turn", turn).where(F.col("turn") <= per_language).drop("turn")
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
+    """Classifiers from texts and languages of the documents that aren't held out.
+
+    Of each language ``per_language`` rows at most are used (``chosen``), so the driver sees a
+    bounded number of feature rows.
+    """
+    rows = chosen(docs, per_language)
+    if rows is None:
+        return None
 
     def run(batches):
         for batch in batches:
@@ -168,12 +182,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
                 x = features(part.column(2).to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["rank", "lang", "x"])
 
-    got = sorted(chosen.mapInArrow(run, "rank double, lang string, x binary").collect(), key=lambda r: (r["lang"], r["rank"], bytes(r["x"])))
-    used, taken = [], dict.fromkeys(counts, 0)
-    for r in got:
-        if taken[r["lang"]] < per_language:
-            taken[r["lang"]] += 1
-            used.append(r)
+    used = rows.repartition(parallelism(docs.sparkSession)).mapInArrow(run, "rank double, lang string, x binary").collect()
+    used = sorted(used, key=lambda r: (r["lang"], r["rank"], bytes(r["x"])))
     if not used:
         return None
     x = np.array([np.frombuffer(r["x"], np.float16) for r in used], np.float32)

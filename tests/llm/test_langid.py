@@ -95,3 +95,15 @@ def test_slices_of_a_long_text(monkeypatch):
     whole = langid.features([text, "x y z", text[:7]])
     monkeypatch.setattr(langid, "SLICE", 37)
     assert np.allclose(langid.features([text, "x y z", text[:7]]), whole, atol=1e-6)
+
+
+def test_rows_that_share_a_doc_id_are_bounded(spark):
+    """However many rows have one doc_id or none, a language sends a fixed number to the driver."""
+    one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, f"the words of row {i}", "en", "s", 1) for i in range(20_000)] + [(None, f"les mots du rang {i}", "fr", "s", 1) for i in range(3000)]
+    rows += [(1000 + i, f"die Worte der Zeile {i}", "de", "s", 1) for i in range(3000)]
+    docs = frame(spark, rows)
+    got = {r["lang"]: r["count"] for r in langid.chosen(docs, 50).groupBy("lang").count().collect()}
+    assert set(got) == {"en", "fr", "de"} and max(got.values()) == 50 and got["en"] == 50
+    assert "WindowGroupLimit" in langid.chosen(docs, 50)._jdf.queryExecution().executedPlan().toString()
+    assert langid.fit(docs, 50) is not None and langid.chosen(docs.limit(0), 50) is None
