@@ -148,20 +148,20 @@ def held_out() -> Column:
 
 def chosen(docs: DataFrame, per_language: int) -> DataFrame | None:
     """(rank, lang, text) of ``per_language`` lettered rows of each language at most, those of the
-    smallest hash of their doc_id, of one doc_id those of the smallest hash of their text.
+    smallest hash of their doc_id and text.
 
     Tasks keep no more of a language before the rows meet, also where very many share a doc_id
-    or have none.
+    or have none, or are equal.
     """
     lettered = docs.where(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != ""))
     counts = {r["lang"]: r["count"] for r in lettered.groupBy("lang").count().collect()}
     if not counts:
         return None
     # Hashes are even: a little more than the share that is wanted is looked at.
-    rank = F.xxhash64(F.lit(1), "doc_id") / 2.0**64 + 0.5
+    rank = F.xxhash64(F.lit(1), "doc_id", F.col("text").cast("string")) / 2.0**64 + 0.5
     share = F.element_at(F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, (1.2 * per_language + 50) / n)))), F.col("lang"))
     rows = lettered.where(rank <= share).where(F.col("text").rlike(r"\p{L}")).select(rank.alias("rank"), "lang", F.col("text").cast("string").alias("text"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank", F.xxhash64("text"), "text"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))
     return rows.withColumn("turn", turn).where(F.col("turn") <= per_language).drop("turn")
 
 
