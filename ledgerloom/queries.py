@@ -698,4 +698,4 @@ def message_reduce(spark, d):
     return jobs.reduce_messages(rows.where("turn <= 3"), rows.where("turn >= 2").withColumn("role", F.upper("role")), ["conv_id", "turn"])
 
 
-from . import flows  # noqa: E402, F401  (registers its queries)
+from . import flows, ingestflows  # noqa: E402, F401  (they register their queries)
