@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import re
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,15 @@ def file_bytes(path: str, limit: int = 64 << 20) -> bytes:
     return data
 
 
+def release() -> None:
+    """Gives memory that was freed back to the system. Python workers live on from stage to stage, and
+    what one stage no longer uses would count against the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(sizes, limit: int = 1 << 20):
     """Consecutive index ranges whose sizes sum up to about ``limit``."""
     start = total = 0

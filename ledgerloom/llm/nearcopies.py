@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release
 from .components import connected_components, forest
 from .trie import trie_pairs
 
@@ -84,6 +84,7 @@ def tables_for(texts: int) -> tuple[int, int]:
 
 
 def _signatures(batches):
+    release()
     for batch in batches:
         first, second, size, count, prints = [], [], [], [], []
         for t in batch.column(2):
@@ -107,6 +108,7 @@ def _filed(bits: int, tables: int):
     """A row for each table: a key of ``bits`` chosen bits, the node, the words of the trie."""
 
     def run(batches):
+        release()
         rng = np.random.default_rng([SEED, bits, tables])
         masks = np.zeros((tables, WORDS), np.uint64)
         for mask in masks:
@@ -134,7 +136,7 @@ def _joined(key: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBa
         a.append(node[i])
         b.append(node[j])
         held += len(i)
-        if held > 2_000_000:
+        if held > 1 << 19:
             x, y = forest(np.concatenate(a), np.concatenate(b))
             a, b, held = [x], [y], len(x)
     none = [np.empty(0, np.int64)]
@@ -144,6 +146,7 @@ def _joined(key: np.ndarray, node: np.ndarray, words: np.ndarray) -> pa.RecordBa
 
 def _joins(batches):
     """Tries of rows sorted by key, about RUN rows at a time and a key never parted."""
+    release()
     held, rows = [], 0
     for batch in batches:
         if not batch.num_rows:
