@@ -229,6 +229,11 @@ def mark(text) -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
+def standing(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, component, parts, text): one text for each node, however often its row is repeated."""
+    return texts.join(chosen, ["doc_id", "mark"]).select("node", "component", "parts", "text").dropDuplicates(["node"])
+
+
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, mark, component_id, first) of every row of ``docs``.
 
@@ -238,7 +243,7 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of smallest ``mark`` of the text. Texts without words link with each other. Different
     texts under one doc_id link only if they are similar. A null doc_id keeps its row: it
     never is the smallest of a component that has another one. Repeated rows are linked to
-    each other; an empty table gives an empty result.
+    each other, and their text is compared once; an empty table gives an empty result.
     """
     scratch = Scratch(spark, "nearcopies")
     text = F.col("text").cast("string")
@@ -253,7 +258,7 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = members.join(classes.select("node", "low", "size"), "node")
     large = named.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).cast("int").alias("parts"))
     chosen = named.join(scratch.write(large), "component").select("node", "component", "parts", F.col("low.doc_id").alias("doc_id"), F.col("low.mark").alias("mark"))
-    rows = texts.join(chosen, ["doc_id", "mark"]).select("node", "component", "parts", "text")
+    rows = standing(texts, chosen)
     rows = rows.withColumn("home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"first": F.least("home", "other"), "second": F.greatest("home", "other")}).drop("other", "parts")
     links = scratch.write(rows.groupBy("component", "first", "second").applyInArrow(_verified, "a long, b long"))

@@ -122,3 +122,16 @@ def test_fingerprints_at_the_threshold():
             d = np.bitwise_count(nearcopies.fingerprint(h) ^ nearcopies.fingerprint(part))
             within += int(d[: nearcopies.TRIE].sum()) <= nearcopies.BUDGET
         assert within >= 190
+
+
+def test_repeated_rows_are_compared_once(spark):
+    """Rows that repeat one doc_id and text send one text to the comparison."""
+    rng = random.Random(12)
+    base = sentence(rng, 60)
+    rows = [(1, base, "en", "s", 1)] * 3000 + [(2, base + " tail", "en", "s", 1)]
+    df = frame(spark, rows)
+    texts = df.select("doc_id", nearcopies.mark("text").alias("mark"), "text")
+    chosen = texts.distinct().selectExpr("doc_id", "mark", "doc_id as node", "0L as component", "1 as parts")
+    assert nearcopies.standing(texts, chosen).count() == 2
+    got = nearcopies.near_copies(spark, df)
+    assert got.count() == 3001 and {r["component_id"] for r in got.select("component_id").distinct().collect()} == {1}
