@@ -161,7 +161,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
 
     Vectors link if their labels are equal and not null and their cosine is at least
-    ``cosine``. Equal vectors of a label are one class: its smallest vec_id stands for
+    ``cosine``. Labels are compared as they are, of any type that Spark groups by. Equal vectors of a label are one class: its smallest vec_id stands for
     it and its copies are counted, never paired. Vectors that are null, empty, zero or
     hold null or non-finite components, and vectors of different sizes, link with
     nothing. A null vec_id stands for no class; repeated rows link like copies. An empty
@@ -171,14 +171,16 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     element = vectors.schema["embedding"].dataType.elementType
     wide = not isinstance(element, (T.FloatType, T.ByteType, T.ShortType))
     value = F.col("embedding").cast("array<double>" if wide else "array<float>")
-    rows = vectors.select(F.col("vec_id").cast("long"), value.alias("value"), (F.col("vec_id").isNotNull() & F.col("label").isNotNull()).alias("ok"), F.col("label").cast("int"))
-    rows = scratch.write(rows.mapInArrow(_packed(wide), "vec_id long, label int, value binary"))
+    rows = vectors.select(F.col("vec_id").cast("long"), value.alias("value"), (F.col("vec_id").isNotNull() & F.col("label").isNotNull()).alias("ok"), "label")
+    label = T.StructField("label", vectors.schema["label"].dataType)
+    column = lambda name, kind: T.StructField(name, kind())
+    rows = scratch.write(rows.mapInArrow(_packed(wide), T.StructType([column("vec_id", T.LongType), label, column("value", T.BinaryType)])))
     classes = rows.where("value is not null").groupBy("label", "value").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     classes = scratch.write(classes)
     size = F.length("value").alias("size")
     largest = classes.groupBy("label", size).count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(largest, cosine, recall)
-    signed = classes.select("node", "value", "copies", "label").mapInArrow(_signatures(bits, tables, wide), "node long, value binary, copies long, label int, sig binary")
+    signed = classes.select("node", "value", "copies", "label").mapInArrow(_signatures(bits, tables, wide), T.StructType([column("node", T.LongType), column("value", T.BinaryType), column("copies", T.LongType), label, column("sig", T.BinaryType)]))
     signed = scratch.write(signed)
     spread = signed.select("node", "label", size, _explode_tables(tables))
     key = ["label", "size", "t", "bucket"]

@@ -85,3 +85,12 @@ def test_empty_and_repeated(spark, tmp_path):
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == [
         ("1", 3, "1", True), ("1", 3, "1", True), ("1", 3, "1", True), ("7", 3, "1", False), ("8", 0, "8", True), ("9", 0, "9", True), ("None", 0, "None", True),
     ]
+
+
+def test_labels_are_compared_as_they_are(spark):
+    """Fractions aren't cut off, words are labels too, and big numbers aren't folded."""
+    x = [1.0, 2.0]
+    for kind, a, b in (("double", 1.2, 1.7), ("string", "one", "two"), ("long", 1, 2**32 + 1)):
+        rows = [(1, x, a), (2, x, a), (3, [2.0, 4.0], a), (4, x, b), (5, x, None)]
+        got = collected(embeddings.near_vectors(spark, spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")))
+        assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (0, 5, True)}
