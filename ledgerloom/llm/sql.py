@@ -84,6 +84,7 @@ def urls(rules=urlgraph.RULES, rounds: int = urlgraph.ROUNDS) -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, k) for k, h, p in order]
     rule, ruled = (" ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) for i in (1, 2))
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bare = "regexp_replace(regexp_replace({}, '^.*@', ''), ':[0-9]*$', '')"
     link = urlgraph.ABSOLUTE.replace("'", "''")
     a, half = urlgraph.DAMPING, urlgraph.THRESHOLD
     steps = []
@@ -94,19 +95,19 @@ s{r} AS MATERIALIZED (SELECT kind, host, round(sum(got), 12) AS score FROM (SELE
   UNION ALL SELECT kind, host, got * {a} FROM g{r}) GROUP BY 1, 2)""")
     return f"""WITH u AS (SELECT page_id, html, {lower.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-p AS MATERIALIZED (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM u),
-l AS (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '{link}', 1), lambda h: regexp_replace(regexp_replace({lower.format("h")}, '^.*@', ''), ':[0-9]*$', '')))) AS dst FROM p WHERE host <> ''),
-links AS MATERIALIZED (SELECT src, dst, count(*) AS weight FROM l WHERE dst <> '' AND dst <> src GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT *, {bare.format("host")} AS site, CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM u),
+l AS (SELECT site AS src, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '{link}', 1), lambda h: {bare.format(lower.format("h"))}))) AS dst FROM p),
+links AS MATERIALIZED (SELECT src, dst, count(*) AS weight FROM l WHERE src <> '' AND dst <> '' AND dst <> src GROUP BY 1, 2),
 e AS (SELECT 'trust' AS kind, src, dst, weight FROM links UNION ALL SELECT 'distrust', dst, src, weight FROM links),
 flow AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS part FROM e),
-h AS (SELECT host, count(*) FILTER (ruled = 'allow') / count(*) AS allow, count(*) FILTER (ruled = 'block') / count(*) AS block FROM p WHERE host <> '' GROUP BY 1),
+h AS (SELECT site AS host, count(*) FILTER (ruled = 'allow') / count(*) AS allow, count(*) FILTER (ruled = 'block') / count(*) AS block FROM p WHERE site <> '' GROUP BY 1),
 share AS (SELECT 'trust' AS kind, host, allow AS share FROM h WHERE allow >= {urlgraph.SEED_SHARE} UNION ALL SELECT 'distrust', host, block FROM h WHERE block >= {urlgraph.SEED_SHARE}),
 seeds AS MATERIALIZED (SELECT kind, host, share / sum(share) OVER (PARTITION BY kind) AS seed FROM share),
 s0 AS (SELECT kind, host, seed AS score FROM seeds),
 {", ".join(steps)},
 b AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM s{rounds} GROUP BY 1)
 SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN distrust > {half} * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict,
-coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM p LEFT JOIN b ON b.host = p.host"""
+coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM p LEFT JOIN b ON b.host = p.site"""
 
 
 def secrets() -> str:

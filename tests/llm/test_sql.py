@@ -53,5 +53,6 @@ def test_scores_of_linked_hosts(spark, tmp_path):
     made += [(800 + i, "http://good.example.com/en/70", f"<a href='//{rng.choice(hosts)}/'>") for i in range(9)]
     made += [(850 + i, "http://bad.net/de/1", "") for i in range(9)] + [(880, "http://plain.io/", "<a href='http://bad.net'>")]
     made += [(900, None, None), (901, "no scheme", "<a href=/b>"), (902, "http://", ""), (903, "x://A.COM", None)]
+    made += [(910 + i, f"http://{h}/de/1", "<a href='https://third.io/'><a href='//u@plain.io:9/'>") for i, h in enumerate(["b.net:80", "u@other.io", "third.io:8080", "u:p@third.io:1", ":80"])]
     got = same(spark, write(spark, tmp_path, made, "pages", "page_id long, url string, html string"), "op4_url_filters")
     assert (got.trust > 0).any() and (got.distrust > 0).any()
