@@ -18,7 +18,8 @@ from .operators import evaluate as ev
 from .operators import evidence as evi
 from .plans import retry
 from .queries import _SCORED, _SQL, _t, _vector_of, _vectors, query
-from .streaming import sse, stateful
+from .sources import files
+from .streaming import sse, stateful, status
 
 
 def _corpus(spark: SparkSession, d: str) -> dispatch.Corpus:
@@ -431,10 +432,41 @@ def display_names(spark, d):
     return _t(spark, d, "lineitem").select("l_linenumber", F.concat_ws("_", F.lower("l_returnflag"), F.lower("l_linestatus")).alias("x")).distinct().select("l_linenumber", tx.display_name(F.col("x")).alias("shown"))
 
 
-@query("SELECT CAST(n AS INT) AS n, 0.2 * pow(2, n - 1) AS query_delay, pow(2, n - 1) + 0.125 AS ingestion_delay FROM range(1, 4) t(n)")
-def retry_delays(spark, d):
-    rows = [(n, retry.query_delay(n), retry.ingestion_delay(n, draw=lambda a, z: (a + z) / 2)) for n in range(1, 4)]
-    return spark.createDataFrame(rows, "n int, query_delay double, ingestion_delay double")
+_CALLS = """a AS (SELECT l_orderkey AS call, l_linenumber AS line, CASE WHEN l_returnflag = 'R' OR q IN (1, 2) THEN 'transient' WHEN l_returnflag = 'A' AND q = 3 THEN 'validation'
+  WHEN l_returnflag = 'A' AND q = 4 THEN 'database' WHEN l_returnflag = 'A' THEN 'runtime' END AS class FROM (SELECT *, l_quantity % 5 AS q FROM lineitem)),
+k AS (SELECT call, row_number() OVER (PARTITION BY call ORDER BY line, class NULLS FIRST) AS n, coalesce(class, 'ok') AS class FROM a)"""
+
+
+@query(f"""WITH {_CALLS}, m AS (SELECT *, coalesce(bool_and(class = 'transient') OVER w, true) AS q, coalesce(bool_and(class <> 'ok') OVER w, true) AS g FROM k WHERE n <= 3 WINDOW w AS (PARTITION BY call ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT call, CAST(max(n) FILTER (q) - 1 AS INT) AS retries, arg_max(class, n) FILTER (q) AS outcome, CAST(max(n) FILTER (g) - 1 AS INT) AS step_retries, arg_max(class, n) FILTER (g) AS step_outcome FROM m GROUP BY 1)
+SELECT call, retries, outcome, 0.2::DOUBLE * (pow(2, retries) - 1) AS waited, step_retries, step_outcome, pow(2, step_retries) - 1 AS step_least, pow(2, step_retries) - 1 + step_retries * 0.25::DOUBLE AS step_most FROM r""")
+def call_retries(spark, d):
+    """Orders as calls and their lines as what attempts would give: how often a query and an ingestion step try, and how long they wait."""
+    q = F.col("l_quantity") % 5
+    of = lambda *names: F.array(*map(F.lit, names))
+    types = F.when(F.col("l_returnflag") == "R", of("ServiceUnavailable", "DatabaseError", "Exception")).when(q == 1, of("ConnectionResetError", "ConnectionError", "OSError")).when(q == 2, of("TimeoutError", "OSError"))
+    failed = F.when(q == 3, of("UnicodeError", "ValueError")).when(q == 4, of("ClientError", "DatabaseError")).otherwise(of("KeyError", "LookupError"))
+    types = types.when(F.col("l_returnflag") == "A", failed)
+    rows = _t(spark, d, "lineitem")
+    asked = retry.replay(rows, "l_orderkey", "l_linenumber", types)
+    steps = retry.replay(rows, "l_orderkey", "l_linenumber", types, any_error=True).select("call", F.col("retries").alias("step_retries"), F.col("outcome").alias("step_outcome"))
+    least, most = retry.ingestion_wait(F.col("step_retries"))
+    return asked.join(steps, "call").select("call", "retries", "outcome", retry.query_wait(F.col("retries")).alias("waited"), "step_retries", "step_outcome", least.alias("step_least"), most.alias("step_most"))
+
+
+@query("""SELECT user_id, arg_max(event_type, row(ts, event_type)) AS state, max(ts) AS updated_at, CASE WHEN arg_max(event_type, row(ts, event_type)) IN ('click', 'view') THEN 3 ELSE 10 END AS poll FROM events GROUP BY 1""")
+def poll_intervals(spark, d):
+    """Users' latest events, and seconds until they are asked for again."""
+    latest = status.latest_status(_t(spark, d, "events"), "user_id", "ts", "event_type")
+    return latest.select("user_id", F.col("event_type").alias("state"), "updated_at", status.poll_after(F.col("event_type").isin("click", "view")).alias("poll"))
+
+
+@query("SELECT coalesce(nullif(lang, ''), 'none') AS value, count(*) AS count FROM documents GROUP BY 1")
+def summary_round_trip(spark, d):
+    """Documents counted by language, written as JSON and read again."""
+    path = f"{held.shared_folder(spark)}/summary-{uuid.uuid4().hex}"
+    files.write_json(ev.value_counts(_t(spark, d, "documents"), "lang"), path)
+    return spark.read.schema("value string, count long").json(path)
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS iso, CAST(ts AS TIMESTAMP) AS parsed, CAST(NULL AS TIMESTAMP) AS broken FROM events")

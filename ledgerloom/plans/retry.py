@@ -7,6 +7,9 @@ import time
 from collections.abc import Callable
 from typing import TypeVar
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
 T = TypeVar("T")
 # Names of error classes of drivers that needn't be installed.
 TRANSIENT = {"ServiceUnavailable", "SessionExpired", "TransientError"}
@@ -68,3 +71,38 @@ def ingestion_retry(call: Callable[[], T], context: str, attempts: int = 3, slee
         return invoke(call, attempts, delay, sleep, lambda e: True)[0]
     except Exception as error:
         raise RuntimeError(f"{context} failed after {attempts} attempts: {error}") from error
+
+
+def error_class(types: Column) -> Column:
+    """As ``classify``, of an array of the names of an error's type and its bases; null for null."""
+    of = lambda *names: F.arrays_overlap(types, F.array(*map(F.lit, sorted(names))))
+    known = F.when(of("TimeoutError", "ConnectionError", *TRANSIENT), F.lit("transient")).when(of("TypeError", "ValueError"), F.lit("validation"))
+    return F.when(types.isNotNull(), known.when(of(*DATABASE), F.lit("database")).otherwise(F.lit("runtime")))
+
+
+def replay(attempts: DataFrame, call: str, order: str, types: Column, most: int = 3, any_error: bool = False) -> DataFrame:
+    """(call, retries, outcome) of each call of a table of what its attempts would give, in ``order``.
+
+    ``types`` holds the names of an attempt's error and its bases, null if it succeeds. An
+    attempt is made if all before it failed with errors that are tried again: transient
+    ones, or all with ``any_error``; at most ``most``, at least one. outcome is the last
+    made attempt's class of error, or ok. Rows of equal order are attempts of their own.
+    Calls are dealt out by their key; rows beyond ``most`` of a call go before they are kept.
+    """
+    again = F.col("__class").isNotNull() if any_error else F.coalesce(F.col("__class") == "transient", F.lit(False))
+    rows = attempts.select(F.col(call).alias("call"), F.col(order).alias("__order"), error_class(types).alias("__class"))
+    w = Window.partitionBy("call").orderBy("__order", "__class")
+    rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max(1, most))
+    made = rows.withColumn("__made", F.coalesce(F.min(again).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))).where("__made")
+    return made.groupBy("call").agg((F.max("__n") - 1).cast("int").alias("retries"), F.coalesce(F.max_by("__class", "__n"), F.lit("ok")).alias("outcome"))
+
+
+def query_wait(retries: Column, base: float = 0.2) -> Column:
+    """Seconds that a query has waited in all after this many retries."""
+    return F.lit(base) * (F.pow(F.lit(2.0), retries) - 1)
+
+
+def ingestion_wait(retries: Column, most: float = 0.25) -> tuple[Column, Column]:
+    """(least, most) seconds that an ingestion step has waited in all, by its jitter."""
+    least = F.pow(F.lit(2.0), retries) - 1
+    return least, least + retries * F.lit(most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
@@ -32,3 +32,8 @@ def ingest(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoi
 
 def poll_seconds(active: bool) -> int:
     return 3 if active else 10
+
+
+def poll_after(active: Column) -> Column:
+    """As ``poll_seconds``, of a column; null isn't active."""
+    return F.when(active, F.lit(poll_seconds(True))).otherwise(F.lit(poll_seconds(False)))

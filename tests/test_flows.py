@@ -293,3 +293,37 @@ def test_parsed_files_become_sections(spark, tmp_path):
     got = sorted((r.doc_id, r.idx, r.section_type, r.content, r.tables) for r in ingest.sections_of(pages, spans).collect())
     assert got == [("a", 0, "RISK", "one", ["|x|"]), ("a", 1, "NOTES", "two", ["|x|"]), ("b", 0, "GENERAL", "three", ["|x|"])]
     assert {r.section_type for r in ingest.sections_of(pages, spans.limit(0)).collect()} == {"GENERAL"}
+
+
+def test_replayed_calls_agree_with_invoke(spark):
+    """Random attempts: the table's retries and outcomes are those of the calls themselves."""
+    import random
+
+    rng = random.Random(5)
+    kinds = [None, TimeoutError, ConnectionResetError, ValueError, UnicodeError, KeyError, type("SessionExpired", (Exception,), {}), type("ClientError", (type("DatabaseError", (Exception,), {}),), {})]
+    calls = {c: [rng.choice(kinds) for _ in range(rng.randrange(3, 7))] for c in range(120)}
+    rows = [(c, n, None if k is None else [b.__name__ for b in k.__mro__]) for c, ks in calls.items() for n, k in enumerate(ks)]
+    df = frame(spark, rows, "id int, at int, types array<string>")
+
+    def made(kinds, any_error):
+        left = list(kinds)
+
+        def once():
+            tried.append(1)
+            kind = left.pop(0)
+            if kind:
+                raise kind
+            return "ok"
+
+        tried = []
+        try:
+            retry.invoke(once, sleep=lambda s: None, **({"retryable": lambda e: True} if any_error else {}))
+            return len(tried) - 1, "ok"
+        except Exception as error:
+            return len(tried) - 1, retry.classify(error)
+
+    for any_error in (False, True):
+        got = {r["call"]: (r["retries"], r["outcome"]) for r in retry.replay(df, "id", "at", F.col("types"), any_error=any_error).collect()}
+        assert got == {c: made(ks, any_error) for c, ks in calls.items()}
+    assert retry.replay(df.limit(0), "id", "at", F.col("types")).count() == 0
+    assert retry.replay(frame(spark, [(None, 1, []), (None, None, None)], "id int, at int, types array<string>"), "id", "at", F.col("types")).first()[1:] == (0, "ok")
