@@ -44,7 +44,8 @@ def trie_pairs(keys: np.ndarray, values: np.ndarray, bits: int, block: int = 1 <
         # A pair whose values all lie in one chain adds nothing; single nodes end here.
         live = (ah > al) & (bh > bl) & (d <= bits) & (chain[np.minimum(al, n - 1)] != chain[np.maximum(bh - 1, 0)])
         al, ah, bl, bh, d = (x[live] for x in (al, ah, bl, bh, d))
-        leaf = (ah - al == 1) & (bh - bl == 1)
+        # Below the last bit a node's values are equal, and its rows are in one chain: one pair is enough.
+        leaf = (ah - al == 1) & (bh - bl == 1) | (bit < 0)
         if leaf.any():
             i, j = al[leaf], bl[leaf]
             ok = (i != j) & (differing(i, j) <= bits)

@@ -135,3 +135,21 @@ def test_repeated_rows_are_compared_once(spark):
     assert nearcopies.standing(texts, chosen).count() == 2
     got = nearcopies.near_copies(spark, df)
     assert got.count() == 3001 and {r["component_id"] for r in got.select("component_id").distinct().collect()} == {1}
+
+
+def test_equal_values_in_a_trie_of_one_key():
+    """Runs of equal values that aren't neighbours in the sorted order, but within the budget."""
+    from ledgerloom.llm.trie import trie_pairs
+
+    for words in (1, 2):
+        low = np.zeros((1, words), np.uint64)
+        high, far = low.copy(), low.copy()
+        high[0, 0], far[0, -1] = np.uint64(1) << np.uint64(63), (np.uint64(1) << np.uint64(40)) - np.uint64(1)
+        values = np.concatenate([low, low, low, far, far, high, high])  # far lies between low and high
+        key = np.array([7] * len(values) + [9])
+        got = [p for i, j in trie_pairs(key, np.concatenate([values, high]), 3) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        label = list(range(len(key)))
+        for i, j in got:
+            label = [label[i] if x == label[j] else x for x in label]
+        assert [label.index(x) for x in label] == [0, 0, 0, 3, 3, 0, 0, 7]
+        assert all(np.bitwise_count(values[i] ^ values[j]).sum() <= 3 for i, j in got)
