@@ -31,6 +31,8 @@ def top_k_batch(vectors: DataFrame, queries: dict[int, list[float]], k: int, id_
 
 #: Bytes of vectors (as doubles) in a part, and queries in a block, of top_k_all.
 PART_BYTES, BLOCK = 32 << 20, 2048
+#: Cosines that a task makes at a time.
+COSINES = 1 << 22
 
 
 def units(table: pa.Table, id_: str = "id", x: str = "x") -> dict[int, tuple[pa.Array, np.ndarray]]:
@@ -60,8 +62,9 @@ def units(table: pa.Table, id_: str = "id", x: str = "x") -> dict[int, tuple[pa.
 
 def best_of(q: np.ndarray, v: np.ndarray, k: int):
     """For each query its number, and places and cosines of its ``k`` nearest; ties by place."""
-    for s in range(0, len(q), 256):
-        for i, row in enumerate(q[s : s + 256] @ v.T, s):
+    step = min(256, max(1, COSINES // max(1, len(v))))
+    for s in range(0, len(q), step):
+        for i, row in enumerate(q[s : s + step] @ v.T, s):
             if len(row) > 4 * k:
                 edge = np.partition(row, len(row) - k)[len(row) - k]
                 may = np.flatnonzero(row >= edge - 1e-12)  # ties at the edge are ordered by place

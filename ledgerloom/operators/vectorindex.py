@@ -20,6 +20,8 @@ MOST_CELLS, PER_CELL = 4096, 64
 PART = 20_000
 #: Sampled rows that ask when probes are chosen.
 ASKED = 200
+#: Numbers of a matrix that a task makes at a time: of cosines to the centres, or of vectors sent on.
+NUMBERS = 1 << 20
 _SLACK = 1e-9
 
 
@@ -53,9 +55,13 @@ def _assigned(centres: np.ndarray, kind: pa.DataType):
     def run(batches):
         for batch in batches:
             for ids, v in units(pa.Table.from_batches([batch])).values():
-                near = v @ centres.T
-                cell = near.argmax(1)
-                angle = np.arccos(np.clip(near[np.arange(len(v)), cell], -1, 1))
+                cell, cosine = np.empty(len(v), np.int64), np.empty(len(v))
+                step = max(1, NUMBERS // len(centres))
+                for s in range(0, len(v), step):
+                    near = v[s : s + step] @ centres.T
+                    cell[s : s + step] = near.argmax(1)
+                    cosine[s : s + step] = near.max(1)
+                angle = np.arccos(np.clip(cosine, -1, 1))
                 x = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), pa.array(v.ravel()))
                 yield pa.RecordBatch.from_arrays([ids.cast(kind), x, pa.array(cell, pa.int32()), pa.array(angle)], names=["id", "x", "cell", "angle"])
 
@@ -120,18 +126,19 @@ def _probed(centres: np.ndarray, choose, extra: bool):
             for ids, q in units(table, "query_id", "x").values():
                 if q.shape[1] != centres.shape[1]:
                     continue
-                near = q @ centres.T
-                order = np.argsort(-near, axis=1, kind="stable")
-                for s in range(0, len(q), 256):
-                    ask, cell, turn = [], [], []
-                    for i in range(s, min(s + 256, len(q))):
-                        at = choose(near[i], order[i], least.get(ids[i].as_py()))
-                        ask.append(np.full(len(at), i))
-                        cell.append(order[i][at])
-                        turn.append(at)
-                    ask, cell, turn = map(np.concatenate, (ask, cell, turn))
-                    x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ask) * q.shape[1] + 1, q.shape[1]), pa.int32()), pa.array(q[ask].ravel()))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(ask)), x, pa.array(cell, pa.int32()), pa.array(turn, pa.int32())], names=["query_id", "x", "cell", "turn"])
+                step = max(1, NUMBERS // len(centres))
+                most = max(1, NUMBERS // q.shape[1])
+                for s in range(0, len(q), step):
+                    near = q[s : s + step] @ centres.T
+                    order = np.argsort(-near, axis=1, kind="stable")
+                    turns = [choose(near[i], order[i], least.get(ids[s + i].as_py())) for i in range(len(near))]
+                    ask = np.repeat(np.arange(len(near)), [len(at) for at in turns])
+                    turn = np.concatenate(turns)
+                    cell = order[ask, turn]
+                    for r in range(0, len(ask), most):
+                        who = s + ask[r : r + most]
+                        x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(who) * q.shape[1] + 1, q.shape[1]), pa.int32()), pa.array(q[who].ravel()))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), x, pa.array(cell[r : r + most], pa.int32()), pa.array(turn[r : r + most], pa.int32())], names=["query_id", "x", "cell", "turn"])
 
     return run
 

@@ -74,3 +74,30 @@ def test_string_ids_and_nothing_to_file(spark, tmp_path):
     assert vectorindex.search_exact(index, asked, 1, first=1).first()["id"] == "v4"
     none = vectorindex.build(df.limit(0), str(tmp_path / "n"), 2)
     assert none.total == 0 and vectorindex.search(none, asked, 3, 2).count() == 0 and vectorindex.search_exact(none, asked, 3).count() == 0
+
+
+def test_batches_of_probes_and_cells_are_bounded():
+    """What a task holds doesn't grow with the cells: a batch of probes has NUMBERS numbers at most."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(2048, 32))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    q = rng.normal(size=(2000, 32))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, 32), pa.int32()), pa.array(q.ravel()))
+    near = q / np.linalg.norm(q, axis=1)[:, None] @ centres.T
+    probed = vectorindex._probed(centres, lambda near, order, least: np.arange(1024), False)
+    tracemalloc.start()
+    rows, most = 0, 0
+    for b in probed([pa.RecordBatch.from_arrays([pa.array(range(2000)), lists], names=["query_id", "x"])]):
+        rows, most = rows + b.num_rows, max(most, b.num_rows)
+        first = b.filter(pa.compute.equal(b.column(3), 0))
+        assert (near[first.column(0).to_numpy()].argmax(1) == first.column(2).to_numpy()).all()
+    cells = vectorindex._assigned(centres, pa.int64())([pa.RecordBatch.from_arrays([pa.array(range(2000)), lists], names=["id", "x"])])
+    assert (next(cells).column(2).to_numpy() == near.argmax(1)).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 * 1024 and most * 32 <= vectorindex.NUMBERS
+    assert peak < 100 << 20
