@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.held import shared_folder
+from ..operators.held import shared_folder, written
 from ..schema import JOB_NEXT
 from .sse import parsed
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows for each file of a replayed batch, at least.
+FILE = 10_000
 _BLANK = re.compile(rb"\r?\n\r?\n")
 
 
@@ -61,17 +63,24 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [r for batch in rows for r in zip(batch["ts_us"].tolist(), batch["at"].tolist(), (None if pd.isna(s) else s for s in batch["status"]), strict=True)]
         if new:
-            self.waiting.appendList(new)
             self.handle.registerTimer(max(r[0] for r in new) // 1000)
-        yield self._judged(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._judged(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._judged(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._judged(key, timerValues.getCurrentWatermarkInMs(), [])
 
-    def _judged(self, key, watermark: int) -> pd.DataFrame:
-        waiting = sorted(((r[0], r[1], r[2]) for r in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
+    def _judged(self, key, watermark: int, new: list) -> Iterator[pd.DataFrame]:
+        """Each access to state is a call to another process, and each frame a batch: none is made for nothing."""
+        waiting = sorted([*((r[0], r[1], r[2]) for r in self.waiting.get()), *new], key=lambda r: r[:2])
         due = [r for r in waiting if r[0] // 1000 <= watermark]
-        previous, ts, told = tuple(self.last.get()) if self.last.exists() else (None, None, False)
+        if due or new:
+            rest = waiting[len(due) :]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        if not due and self.patience is None:
+            return
+        last = self.last.get()
+        previous, ts, told = tuple(last) if last is not None else (None, None, False)
+        held = (previous, ts, told)
         out = []
         first = next(iter(self.following))
         for at_ts, at, status in due:
@@ -82,9 +91,6 @@ class Lifecycle(StatefulProcessor):
             if wrong:
                 out.append((key[0], at, status, previous, "illegal"))
             previous, ts, told = status, at_ts, False
-        if due:
-            rest = waiting[len(due) :]
-            self.waiting.put(rest) if rest else self.waiting.clear()
         if self.patience is not None and ts is not None and previous in self.stalls and not told:
             end = ts // 1000 + self.patience
             if end <= watermark:
@@ -92,10 +98,10 @@ class Lifecycle(StatefulProcessor):
                 told = True
             elif due:
                 self.handle.registerTimer(end)
-        if ts is not None:
+        if (previous, ts, told) != held:
             self.last.update((previous, ts, told))
-        got = pd.DataFrame(out, columns=["key", "at", "status", "previous", "kind"])
-        return got.astype({"at": "Int64"})
+        if out:
+            yield pd.DataFrame(out, columns=["key", "at", "status", "previous", "kind"]).astype({"at": "Int64"})
 
     def close(self) -> None:
         pass
@@ -122,7 +128,8 @@ class Blocks(StatefulProcessor):
         self.early = handle.getMapState("early", "turn long", "bytes binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        rest, turn, pos = tuple(self.rest.get()) if self.rest.exists() else (b"", 0, 0)
+        rest = self.rest.get()
+        rest, turn, pos = tuple(rest) if rest is not None else (b"", 0, 0)
         rest = bytes(rest)
         new = {t: bytes(b) for batch in rows for t, b in zip(batch["turn"].tolist(), batch["bytes"], strict=True) if t >= turn}
         if self.early.exists():
@@ -140,8 +147,10 @@ class Blocks(StatefulProcessor):
         for m in _BLANK.finditer(whole, max(0, len(rest) - 3)):  # what ends a block may be cut too
             out.append((key[0], pos, whole[begin : m.start()].decode(errors="replace")))
             begin, pos = m.end(), pos + 1
-        self.rest.update((whole[begin:], turn, pos))
-        yield pd.DataFrame(out, columns=["key", "pos", "block"])
+        if pieces:
+            self.rest.update((whole[begin:], turn, pos))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "pos", "block"])
 
     def close(self) -> None:
         pass
@@ -170,12 +179,21 @@ def cut(raw: DataFrame, key: str, text: str, size: int) -> DataFrame:
 def as_files(df: DataFrame, batches: int, batch: Column) -> Callable[[SparkSession], DataFrame]:
     """The stream of ``df`` for a replay: rows whose ``batch`` is 0 come first, then those of 1 ...
 
-    A batch is written after the one before, as a stream takes files by their age, and in one file.
+    A batch is written after the one before, as a stream takes files by their age, and all batches
+    in the same number of files: one for every FILE rows of the least, the shuffle partitions at most.
     """
-    path = f"{shared_folder(df.sparkSession)}/replay-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    held = written(df.withColumn("__batch", batch))  # computed once, by all tasks
+    sizes = {r["__batch"]: r["count"] for r in held.groupBy("__batch").count().collect()}
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), min((sizes.get(k, 0) for k in range(batches)), default=0) // FILE))
     for k in range(batches):
-        df.where(batch == k).coalesce(1).write.mode("append").parquet(path)
-    return lambda spark: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows = held.where(F.col("__batch") == k).drop("__batch")
+        # Dealt out in turn: at FILE rows for each file none stays empty.
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+        if files > 1 and len(spark.read.schema(df.schema).parquet(path).inputFiles()) != (k + 1) * files:
+            raise ValueError(f"batch {k} isn't in {files} files")
+    return lambda spark: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def quarters(df: DataFrame, ts: str) -> Column:

@@ -74,3 +74,19 @@ def test_settings_go_back(spark):
         assert "RocksDB" in spark.conf.get(name)
     assert spark.conf.get(name, None) == old
     assert stateful.cut(spark.createDataFrame([(1, "abc")], "k long, t string"), "k", "t", 2).select(F.sum(F.octet_length("piece"))).first()[0] == 3
+
+
+def test_replayed_batches_have_several_files(spark, monkeypatch):
+    """A batch is written by several tasks, each batch in as many files."""
+    from glob import glob
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.streaming import stateful
+
+    monkeypatch.setattr(stateful, "FILE", 50, raising=False)
+    folder = f"{stateful.shared_folder(spark)}/replay-*"
+    before = set(glob(folder))
+    stateful.as_files(spark.range(800), 4, F.col("id") % 4)
+    (path,) = set(glob(folder)) - before
+    assert spark.read.parquet(path).count() == 800 and len(glob(f"{path}/*.parquet")) == 16
