@@ -174,4 +174,4 @@ def markdown_round_trip(spark, d):
     rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.col("text").alias("content"))
     files.write_markdown(rows, path)
     got = files.text_sections(spark, f"{path}/*")
-    return got.select(F.regexp_extract("file_path", r"doc_id=(\d+)/", 1).alias("doc_id"), F.length("content").cast("long").alias("n_chars"), "section_type", "title", "page_start")
+    return got.select(F.nullif(F.regexp_extract("file_path", r"doc_id=(-?\d+)(/|\.md$)", 1), F.lit("")).alias("doc_id"), F.length("content").cast("long").alias("n_chars"), "section_type", "title", "page_start")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import shutil
+import uuid
+import zlib
 from collections.abc import Callable
 from pathlib import Path
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -114,7 +117,35 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_markdown(sections: DataFrame, path: str) -> None:
-    """One text a document, its sections in order."""
+def write_markdown(sections: DataFrame, path: str, folders: int = 128) -> None:
+    """One text file a document, its sections in order, found by ``text_sections(spark, f"{path}/*")``.
+
+    In the local file system, in a folder that executors share, tasks save the files themselves as
+    ``{path}/{folder}/doc_id={doc_id}.md``: Spark's writer makes a folder for each document, starts a process for
+    each file's permissions there and moves all folders by the driver. In other stores it writes ``{path}/doc_id={doc_id}/``.
+    """
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "content"))), lambda s: s["content"]), "\n\n")
-    sections.groupBy("doc_id").agg(joined.alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+    texts = sections.groupBy("doc_id").agg(joined.alias("value"))
+    spark = sections.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(at).toUri()
+    if uri.getScheme() != "file":
+        return texts.write.mode("overwrite").partitionBy("doc_id").text(path)
+    fs.delete(at, True)
+    fs.mkdirs(at)
+    root = uri.getPath()
+
+    def save(rows):
+        """A task that is run again saves the same files; each is whole at any time."""
+        for row in rows:
+            name = f"doc_id={quote(row.doc_id, safe='')}.md"
+            into = Path(root) / f"{zlib.crc32(name.encode()) % folders:04d}"
+            into.mkdir(exist_ok=True)
+            fresh = into / f".{uuid.uuid4().hex}"
+            fresh.write_bytes(row.value + b"\n")
+            fresh.replace(into / name)
+
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    texts.select(doc_id.alias("doc_id"), F.col("value").cast("binary").alias("value")).foreachPartition(save)
+    (Path(root) / "_SUCCESS").touch()
