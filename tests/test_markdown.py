@@ -45,3 +45,12 @@ def test_stores_that_only_spark_opens(spark, tmp_path):
     spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.markdown.link./out", tmp_path.as_uri())
     files.write_markdown(spark.createDataFrame([("1", 1, "b"), ("1", 0, "a"), ("2", 0, "c")], SECTION), "viewfs://markdown/out/md")
     assert read(spark, "viewfs://markdown/out/md") == [("1", "a\n\nb\n"), ("2", "c\n")]
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(2000):
+        (tmp_path / f"{i}.md").write_text(f"text {i}")
+    got = files.text_sections(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    found = sorted((r.file_path.rsplit("/", 1)[1], r.content) for r in got.collect())
+    assert found == sorted((f"{i}.md", f"text {i}") for i in range(2000))
