@@ -31,16 +31,16 @@ def top_k_batch(vectors: DataFrame, queries: dict[int, list[float]], k: int, id_
 
 #: Bytes of vectors (as doubles) in a part, and queries in a block, of top_k_all.
 PART_BYTES, BLOCK = 32 << 20, 2048
-#: Cosines that a task makes at a time.
-COSINES = 1 << 22
+#: Cosines that a task makes at a time, and products of components.
+COSINES, PRODUCTS = 1 << 22, 1 << 16
 
 
-def units(table: pa.Table, id_: str = "id", x: str = "x") -> dict[int, tuple[pa.Array, np.ndarray]]:
-    """By size the ids in order and the unit vectors of lists of doubles. Vectors with a null or
-    non-finite component, zero vectors and nulls are left out."""
+def finite(table: pa.Table, id_: str = "id", x: str = "x") -> dict[int, tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """By size the ids in order, the vectors of lists of doubles and their squared norms. Vectors with a
+    null or non-finite component, zero vectors and nulls are left out."""
     table = table.filter(pc.is_valid(table.column(x))).combine_chunks()
     table = table.take(pc.sort_indices(table.column(id_)))
-    out: dict[int, tuple[pa.Array, np.ndarray]] = {}
+    out: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
     if not table.num_rows:
         return out
     lists = table.column(x).combine_chunks()
@@ -53,41 +53,84 @@ def units(table: pa.Table, id_: str = "id", x: str = "x") -> dict[int, tuple[pa.
     for n in np.unique(size[size > 0]).tolist():
         at = np.flatnonzero(size == n)
         m = flat.reshape(-1, n) if len(at) == len(size) else flat[start[at][:, None] + np.arange(n)]
-        norm = np.sqrt((m * m).sum(1))
-        good = np.isfinite(norm) & (norm > 0)
+        squares = np.zeros(len(m))
+        for component in m.T:
+            squares += component * component
+        good = np.isfinite(squares) & (squares > 0)
         if good.any():
-            out[n] = ids.take(pa.array(at[good])), m[good] / norm[good][:, None]
+            out[n] = ids.take(pa.array(at[good])), m[good], squares[good]
     return out
 
 
-def best_of(q: np.ndarray, v: np.ndarray, k: int):
-    """For each query its number, and places and cosines of its ``k`` nearest; ties by place."""
+def units(table: pa.Table, id_: str = "id", x: str = "x") -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """The ``finite`` vectors as unit vectors."""
+    return {n: (ids, m / np.sqrt(squares)[:, None]) for n, (ids, m, squares) in finite(table, id_, x).items()}
+
+
+def scored(cosine, mode: str):
+    """The score that ranks, of a column or an array of cosines. Cosines that differ may have one score."""
+    return (1 + cosine) / 2 if mode == "index" else cosine
+
+
+def cosines(q: np.ndarray, q2: float, v: np.ndarray, v2: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cosines of ``q`` and the rows ``at`` of ``v``, summed component by component as SQL does.
+
+    A pair has the same one wherever it is compared: the last bits of a matrix product depend on
+    its shape and on a row's place in it.
+    """
+    dots, step = np.empty(len(at)), max(1, PRODUCTS // len(q))
+    for s in range(0, len(at), step):
+        products = v[at[s : s + step]] * q
+        dots[s : s + step] = np.add.accumulate(products, axis=1)[:, -1]
+    with np.errstate(over="ignore"):
+        both = v2[at] * q2
+    whole = (both > np.finfo(float).tiny) & (both < np.inf)
+    return np.clip(dots / np.where(whole, np.sqrt(both), np.sqrt(v2[at]) * np.sqrt(q2)), -1, 1)
+
+
+def best_of(q: np.ndarray, q2: np.ndarray, v: np.ndarray, v2: np.ndarray, k: int, mode: str):
+    """For each query its number, and places and cosines of the ``k`` of highest score; ties by place.
+
+    ``q2`` and ``v2`` are squared norms. A matrix product tells which few may be among the k; where
+    these are many, copies say, equal rows are compared once.
+    """
+    unit, inverse = q / np.sqrt(q2)[:, None], 1 / np.sqrt(v2)
+    slack = 1e-12 + 8 * v.shape[1] * np.finfo(float).eps  # over twice what a product can be off
     step = min(256, max(1, COSINES // max(1, len(v))))
+    kinds = None
     for s in range(0, len(q), step):
-        for i, row in enumerate(q[s : s + step] @ v.T, s):
+        rough = unit[s : s + step] @ v.T
+        rough *= inverse
+        for i, row in enumerate(rough, s):
             if len(row) > 4 * k:
-                edge = np.partition(row, len(row) - k)[len(row) - k]
-                may = np.flatnonzero(row >= edge - 1e-12)  # ties at the edge are ordered by place
-                most = may[np.lexsort((may, -row[may]))[:k]]
+                may = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - slack)
+            else:
+                may = np.arange(len(row))
+            if len(may) <= 4 * k:
+                near = cosines(q[i], q2[i], v, v2, may)
             else:
-                most = np.lexsort((np.arange(len(row)), -row))[:k]
-            yield i, most, row[most]
+                if kinds is None:
+                    _, one, kinds = np.unique(v.view(f"V{v.itemsize * v.shape[1]}").ravel(), return_index=True, return_inverse=True)
+                kind, of = np.unique(kinds[may], return_inverse=True)
+                near = cosines(q[i], q2[i], v, v2, one[kind])[of]
+            most = np.lexsort((may, -scored(near, mode)))[:k]
+            yield i, may[most], near[most]
 
 
-def nearest(k: int, kind: pa.DataType):
+def nearest(k: int, kind: pa.DataType, mode: str):
     """Cogrouped queries and vectors to (query_id, id, cosine): at most ``k`` rows a query."""
 
     def run(asked: pa.Table, table: pa.Table) -> pa.Table:
-        a, b = units(asked), units(table)
-        queries, ids, cosines = [np.empty(0, np.int64)], [pa.array([], kind)], [np.empty(0)]
+        a, b = finite(asked), finite(table)
+        queries, ids, found = [np.empty(0, np.int64)], [pa.array([], kind)], [np.empty(0)]
         for n in a.keys() & b.keys():
-            (qs, q), (vs, v) = a[n], b[n]
+            (qs, *q), (vs, *v) = a[n], b[n]
             qs = qs.to_numpy()
-            for i, at, near in best_of(q, v, k):
+            for i, at, near in best_of(*q, *v, k, mode):
                 queries.append(np.full(len(at), qs[i]))
                 ids.append(vs.take(pa.array(at)).cast(kind))
-                cosines.append(near)
-        return pa.table({"query_id": np.concatenate(queries), "id": pa.chunked_array(ids), "cosine": np.concatenate(cosines)})
+                found.append(near)
+        return pa.table({"query_id": np.concatenate(queries), "id": pa.chunked_array(ids), "cosine": np.concatenate(found)})
 
     return run
 
@@ -98,8 +141,8 @@ def doubles(column: str = "embedding") -> Column:
 
 def top_ranked(found: DataFrame, k: int, mode: str) -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` nearest over all parts."""
-    score_ = (1 + F.col("cosine")) / 2 if mode == "index" else F.col("cosine")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
+    score_ = scored(F.col("cosine"), mode)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(score_.desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", score_.alias("score"), "rank")
 
 
@@ -114,8 +157,9 @@ def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", m
 
     Queries are dealt into blocks of about ``block`` and vectors into parts of about
     PART_BYTES; each pair of a block and a part is a matrix of cosines, of which only k rows
-    a query leave the task. Vectors of another size, zero vectors, nulls and vectors with null or
-    non-finite components have no score; ties go by id. Ids are integers or strings.
+    a query leave the task. A pair's score is the same in any block and part. Vectors of another
+    size, zero vectors, nulls and vectors with null or non-finite components have no score; ties
+    of the score go by id. Ids are integers or strings.
     """
     if parts is None:
         size = vectors.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0
@@ -126,7 +170,7 @@ def top_k_all(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", m
     spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     left = dealt(queries.select(F.col("query_id").cast("long").alias("id"), doubles().alias("x")), "block", blocks).select("*", spread("part", parts))
     right = dealt(vectors.select(F.col(id_).cast(kind).alias("id"), doubles().alias("x")), "part", parts).select("*", spread("block", blocks))
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(nearest(k, arrow), f"query_id long, id {kind}, cosine double")
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(nearest(k, arrow, mode), f"query_id long, id {kind}, cosine double")
     return top_ranked(found, k, mode)
 
 

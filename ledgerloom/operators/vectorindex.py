@@ -155,7 +155,7 @@ def _first(index: Index, queries: DataFrame, probes: int) -> DataFrame:
     return _asked(queries).mapInArrow(_probed(index.centres, lambda near, order, least: np.arange(min(probes, len(order))), False), _PROBE)
 
 
-def _compared(index: Index, probed: DataFrame, k: int) -> DataFrame:
+def _compared(index: Index, probed: DataFrame, k: int, mode: str) -> DataFrame:
     """(query_id, id, cosine): the ``k`` nearest of each query in each part of its cells.
 
     Files of other cells aren't read. A cell that very many queries probe is compared by
@@ -172,13 +172,13 @@ def _compared(index: Index, probed: DataFrame, k: int) -> DataFrame:
     right = index.vectors.where(F.col("cell").isin(sorted(asked))).select("id", "x", "cell", "part", each(blocks, "block"))
     keys = ["cell", "part", "block"]
     left = left.select(F.col("query_id").alias("id"), "x", *keys)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest(k, arrow), f"query_id long, id {kind}, cosine double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest(k, arrow, mode), f"query_id long, id {kind}, cosine double")
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int, mode: str = "index") -> DataFrame:
     """(query_id, id, score, rank): the nearest of each row of ``queries`` (query_id, embedding) in the
     ``probes`` cells whose centres are nearest. An approximation; see ``probes_for``."""
-    return top_ranked(_compared(index, written(_first(index, queries, probes)), k), k, mode)
+    return top_ranked(_compared(index, written(_first(index, queries, probes)), k, mode), k, mode)
 
 
 def search_exact(index: Index, queries: DataFrame, k: int, first: int = 4, mode: str = "index") -> DataFrame:
@@ -187,7 +187,7 @@ def search_exact(index: Index, queries: DataFrame, k: int, first: int = 4, mode:
     The nearest cells give a k-th cosine; a further one is read only if its vectors' angles to
     their centre let one of them be nearer than that (angles obey the triangle inequality).
     """
-    begun = written(_compared(index, written(_first(index, queries, first)), k))
+    begun = written(_compared(index, written(_first(index, queries, first)), k, mode))
     kth = top_ranked(begun, k, "cosine").groupBy("query_id").agg(F.min("score").alias("c"), F.count("*").alias("n"))
     least = kth.select("query_id", F.when(F.col("n") == k, F.col("c")).alias("least"))
     low, high, rows = index.near, index.far, index.rows
@@ -200,7 +200,7 @@ def search_exact(index: Index, queries: DataFrame, k: int, first: int = 4, mode:
         return rest[(rows[cell] > 0) & (np.cos(least_angle) >= (-1 if bound is None else bound) - _SLACK)]
 
     more = _asked(queries, least).mapInArrow(_probed(index.centres, choose, True), _PROBE)
-    return top_ranked(begun.unionByName(_compared(index, written(more), k)), k, mode)
+    return top_ranked(begun.unionByName(_compared(index, written(more), k, mode)), k, mode)
 
 
 def probes_for(index: Index, vectors: DataFrame, k: int, recall: float = 0.95, asked: int = ASKED, seed: int = 11) -> tuple[int, float]:

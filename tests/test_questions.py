@@ -124,3 +124,56 @@ def test_a_hub_is_dealt_out(spark, tmp_path):
 def test_more_rows_than_said_raise(spark):
     with pytest.raises(ValueError, match="more than"):
         held.held(spark.range(held.MOST + 1), True)
+
+
+def test_a_pair_has_one_score_wherever_it_is_compared(spark):
+    """Chunks and tables of one vector tie, whatever parts and blocks they were compared in, as they do in SQL."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=64).astype("float32").tolist()) for i in range(1003)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = df.where("id % 23 = 0").selectExpr("id as query_id", "embedding")
+    want = {(q, i): c for q, i, c in duckdb.connect().execute(
+        "WITH v AS (SELECT unnest($1) AS r), w AS (SELECT r[1]::BIGINT AS id, CAST(r[2:] AS DOUBLE[]) AS e FROM v) SELECT a.id, b.id, (1 + list_cosine_similarity(b.e, a.e)) / 2 FROM w a, w b WHERE a.id % 23 = 0", [[[float(i), *e] for i, e in rows]]
+    ).fetchall()}
+    for queries, block, parts in ((asked, 2048, 1), (asked.where("query_id % 3 > 0"), 5, 3), (asked.limit(1), 1, 7)):
+        got = retrieve.top_k_all(df, queries, 40, block=block, parts=parts).collect()
+        assert len(got) == 40 * queries.count() and [r for r in got if r["score"] != want[r["query_id"], r["id"]]] == []
+
+
+def test_cosines_of_one_score_tie_by_id(spark):
+    df = spark.createDataFrame([(i, [i * 1e-18, 1.0]) for i in range(60)] + [(99, [-1.0, 0.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    for parts in (1, 4):
+        got = retrieve.top_k_all(df, asked, 3, parts=parts).orderBy("rank").collect()
+        assert [(r["id"], r["score"]) for r in got] == [(0, 0.5), (1, 0.5), (2, 0.5)]
+        assert [r["id"] for r in retrieve.top_k_all(df, asked, 3, mode="cosine", parts=parts).orderBy("rank").collect()] == [59, 58, 57]
+
+
+def test_batch_is_its_sql_where_chunks_and_tables_tie(spark, tmp_path):
+    import duckdb
+
+    e = 1 + np.random.default_rng(16).normal(size=(150, 64))
+    rows = [(i, x.tolist(), i % 10) for i, x in enumerate((e / np.linalg.norm(e, axis=1)[:, None]).astype("float32"))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(38).selectExpr("id as doc_id", "'t' as text", "if(id % 2 = 0, 'en', 'de') as lang", "concat('src', id % 5) as source", "1L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    for t in ("embeddings", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    columns = "question_id", "rank", "source_type", "source_id", "doc_id", "context"
+    want = c.execute(f"SELECT {', '.join(columns)} FROM ({flows._SQL['retrieval_batch']}) ORDER BY 1, 2").fetchall()
+    got = flows.retrieval_batch(spark, str(tmp_path)).select(*columns).orderBy("question_id", "rank").collect()
+    assert list(map(tuple, got)) == want
+
+
+def test_many_copies_are_ordered_by_place():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 24))
+    v, q = base[rng.integers(0, 40, 5000)], np.concatenate([base[:5], rng.normal(size=(15, 24))])
+    total = lambda m: np.add.accumulate(m, axis=1)[:, -1]
+    for k, mode in ((1, "index"), (7, "cosine"), (200, "index"), (3000, "index")):
+        for i, at, near in retrieve.best_of(q, total(q * q), v, total(v * v), k, mode):
+            cosine = np.clip(total(v * q[i]) / np.sqrt(total(v * v) * total(q * q)[i]), -1, 1)
+            want = np.lexsort((np.arange(len(v)), -retrieve.scored(cosine, mode)))[:k]
+            assert (at == want).all() and (near == cosine[want]).all()
